@@ -1,0 +1,75 @@
+"""Exact set-similarity self-join by prefix filtering.
+
+Each row carries its tokens in one order common to all rows, rarest first, and the
+length of the prefix that any partner must share a token with. Rows meet on shared
+prefix tokens only. A token held by many rows is cut into blocks of bounded size that
+meet pairwise in separate groups, so no token makes a single large task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pagelens.session import shuffle_width
+
+BLOCK_ROWS = 2_000
+FREQUENT_TOKENS = 20_000  # rows of the frequency table that is broadcast
+
+Condition = Callable[[Column, Column], Column]
+
+
+def rare_first(rows: DataFrame, key: str, tokens: str, out: str) -> DataFrame:
+    """(key, out): each row's tokens ordered by how many rows hold them, then by name.
+
+    Only the most frequent tokens are counted out; all others are equally rare. Any
+    common order keeps the join exact, the order only decides how many rows meet.
+    """
+    single = rows.select(key, F.explode(tokens).alias("token"))
+    frequent = (
+        single.groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS)
+    )
+    weighed = single.join(F.broadcast(frequent), "token", "left")
+    entry = F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")
+    ordered = F.array_sort(F.collect_list(entry))
+    grouped = weighed.groupBy(key).agg(ordered.alias("entries"))
+    return grouped.select(key, F.transform("entries", lambda e: e["token"]).alias(out))
+
+
+def prefix_pairs(rows: DataFrame, key: str, prefix: str, condition: Condition) -> DataFrame:
+    """Pairs (one, two) of row structs with one.key < two.key that share a prefix token and meet
+    `condition(one, two)`, which must not depend on the order. Each pair comes out once: at
+    the first prefix token both rows have.
+    """
+    row = F.struct(*rows.columns)
+    keyed = rows.select(F.explode(prefix).alias("token"), row.alias("row"))
+    sizes = keyed.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    salted = keyed.join(sizes, "token").withColumn(
+        "block", F.pmod(F.xxhash64(f"row.{key}"), F.col("blocks"))
+    )
+    zero = F.lit(0).cast("bigint")
+    left = salted.select(
+        "token",
+        F.col("block").alias("i"),
+        F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"),
+        F.col("row").alias("x"),
+    )
+    right = salted.select(
+        "token",
+        F.explode(F.sequence(zero, F.col("block"))).alias("i"),
+        F.col("block").alias("j"),
+        F.col("row").alias("y"),
+    )
+    # Few bytes but many comparisons per row: keep the shuffle's full width, which AQE
+    # would otherwise fold by size.
+    left = left.repartition(shuffle_width(rows), "token", "i", "j")
+    x, y = F.col("x"), F.col("y")
+    first_shared = F.element_at(F.array_intersect(x[prefix], y[prefix]), 1) == F.col("token")
+    once = (F.col("i") < F.col("j")) | (x[key] < y[key])
+    met = left.join(right, ["token", "i", "j"]).where(once & first_shared & condition(x, y))
+    in_order = x[key] < y[key]
+    return met.select(
+        F.when(in_order, x).otherwise(y).alias("one"), F.when(in_order, y).otherwise(x).alias("two")
+    )
