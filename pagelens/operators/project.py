@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pagelens.session import cut_lineage
 
-CUT_EVERY = 5
+
+REPORT_EVERY = 5
 
 
 def pca_2d(vectors: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def metric_layout(pairs: DataFrame, iterations: int = 10) -> tuple[DataFrame, li
     Weighted stress with weight 1 on listed pairs and 0 elsewhere, so any pair table will
     do: all pairs of a small site, or the neighbour graph of a large one. Each step moves
     every point by half its mean pull, which majorises the stress: it never rises.
-    Returns the layout (id, x, y) and the stress before each step and at the end.
+    Returns the layout (id, x, y) and the stress at the start, every fifth step and the end.
     Distances below 0 (scores above 1) count as 0.
     """
     edges = pairs.where("a <> b").select(
@@ -56,7 +57,7 @@ def metric_layout(pairs: DataFrame, iterations: int = 10) -> tuple[DataFrame, li
     )
     edges = cut_lineage(edges)
     layout = cut_lineage(start_layout(edges))
-    stresses = []
+    stresses = [stress(edges, layout)]
     for step in range(1, iterations + 1):
         pulls = _pulls(edges, layout)
         moved = layout.join(
@@ -69,11 +70,9 @@ def metric_layout(pairs: DataFrame, iterations: int = 10) -> tuple[DataFrame, li
             (F.col("x") + F.col("dx") / (2 * F.col("n"))).alias("x"),
             (F.col("y") + F.col("dy") / (2 * F.col("n"))).alias("y"),
         )
-        if step % CUT_EVERY == 0 or step == iterations:
+        layout = cut_lineage(moved)
+        if step % REPORT_EVERY == 0 or step == iterations:
             stresses.append(stress(edges, layout))
-            moved = cut_lineage(moved)
-        layout = moved
-    stresses.append(stress(edges, layout))
     return layout, stresses
 
 

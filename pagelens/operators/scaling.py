@@ -1,12 +1,12 @@
 """Feature table to vectors: numeric columns, standard scaling, profile, combination.
 
-Statistics are one aggregate row. It comes to the driver (two numbers per feature,
-however many pages) and goes back as constants, so scaling itself is a projection.
+Statistics are two numbers per dimension, however many pages. They come to the driver
+and go back as constants, so scaling itself is a projection.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,38 +32,30 @@ def numeric_features(features: DataFrame, key: str = "page_id") -> DataFrame:
     return features.select(key, *names).fillna(0, subset=names)
 
 
-def _scaled(value: Column, mean: float, deviation: float) -> Column:
-    if deviation <= _CONSTANT * max(1.0, abs(mean)):
-        return F.lit(0.0)
-    return (value.cast("double") - F.lit(mean)) / F.lit(deviation)
-
-
 def standard_vectors(features: DataFrame, key: str = "page_id") -> DataFrame:
     """(id, vector): each numeric column as (x - mean) / population deviation, 0 where the
     deviation is 0. `features` should be written or cheap: it is read twice."""
     filled = numeric_features(features, key)
     names = numeric_columns(filled, key)
-    stats = filled.agg(
-        *[F.avg(n).alias(f"m_{n}") for n in names],
-        *[F.stddev_pop(n).alias(f"s_{n}") for n in names],
-    ).first()
-    if stats is None or stats[f"m_{names[0]}"] is None:
-        empty = F.array().cast("array<double>")
-        return filled.select(F.col(key).alias("id"), empty.alias("vector"))
-    scaled = [_scaled(F.col(n), stats[f"m_{n}"], stats[f"s_{n}"]) for n in names]
-    return filled.select(F.col(key).alias("id"), F.array(*scaled).alias("vector"))
-
-
-def standardise(vectors: DataFrame, size: int, column: str = "vector") -> DataFrame:
-    """Standard-scale every dimension of a vector column of known size."""
-    stats = vectors.agg(
-        *[F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(size)],
-        *[F.stddev_pop(F.col(column)[i]).alias(f"s{i}") for i in range(size)],
-    ).first()
-    if stats is None or stats["m0"] is None:
+    vector = F.array(*[F.col(n).cast("double") for n in names])
+    return standardise(filled.select(F.col(key).alias("id"), vector.alias("vector")))
+
+
+def standardise(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """Standard-scale every dimension of a vector column."""
+    each = vectors.select(F.posexplode(column).alias("dim", "x"))
+    stats = each.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    rows = sorted(stats.collect(), key=lambda row: row.dim)
+    if not rows:
         return vectors
-    scaled = [_scaled(F.col(column)[i], stats[f"m{i}"], stats[f"s{i}"]) for i in range(size)]
-    return vectors.withColumn(column, F.array(*scaled))
+    constant = [row.sd <= _CONSTANT * max(1.0, abs(row.mean)) for row in rows]
+    means = F.lit([float(row.mean) for row in rows])
+    # A constant dimension is multiplied by 0 rather than divided by its deviation.
+    factors = F.lit(
+        [0.0 if flat else 1.0 / row.sd for row, flat in zip(rows, constant, strict=True)]
+    )
+    centred = F.zip_with(F.col(column), means, lambda x, mean: x - mean)
+    return vectors.withColumn(column, F.zip_with(centred, factors, lambda x, f: x * f))
 
 
 def combine(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -71,10 +63,7 @@ def combine(first: DataFrame, second: DataFrame) -> DataFrame:
     left = first.select("id", F.col("vector").alias("left"))
     right = second.select("id", F.col("vector").cast("array<double>").alias("right"))
     both = written(left.join(right, "id"), "combined")
-    sizes = both.select(F.size("left").alias("l"), F.size("right").alias("r")).first()
-    if sizes is None:
-        return both.select("id", F.concat("left", "right").alias("vector"))
-    scaled = standardise(standardise(both, sizes.l, "left"), sizes.r, "right")
+    scaled = standardise(standardise(both, "left"), "right")
     return scaled.select("id", F.concat("left", "right").alias("vector"))
 
 

@@ -17,6 +17,15 @@ def type_members(members: DataFrame, typed: DataFrame) -> DataFrame:
     )
 
 
+def type_document(distribution: DataFrame) -> DataFrame:
+    """One row: pages in all and pages by type (as many entries as there are types)."""
+    entries = F.collect_list(F.struct("page_type", "pages"))
+    return distribution.agg(
+        F.sum("pages").alias("total_files"),
+        F.map_from_entries(entries).alias("page_type_distribution"),
+    )
+
+
 def within_type_pairs(similar: DataFrame, by_type: DataFrame) -> DataFrame:
     """Similar structures whose pages share a type: (page_type, a, b, page_pairs, scores).
 

@@ -28,8 +28,6 @@ MAX_PIVOTS = 512
 DIGITS = 9  # similarities are ranked after rounding, so that ties are the same everywhere
 _SLACK = 1e-6
 
-PAIR_SCHEMA = "a bigint, b bigint, similarity double"
-
 
 @dataclass
 class VectorSet:
@@ -39,18 +37,24 @@ class VectorSet:
     members: DataFrame  # id, rep
     count: int
 
+    @property
+    def id_type(self) -> str:
+        return self.distinct.schema["id"].dataType.simpleString()
+
+    @property
+    def pair_schema(self) -> str:
+        return f"a {self.id_type}, b {self.id_type}, similarity double"
+
 
 def fold_copies(vectors: DataFrame, name: str = "vectors") -> VectorSet:
-    """Keep one row per distinct vector of `vectors(id, vector)`.
+    """Keep one row per distinct vector of `vectors(id, vector)`, which is read twice and
+    should be a table or written.
 
     Null and zero vectors have no direction and take no part in any pair.
     """
-    units = written(
-        vectors.select("id", unit(F.col("vector")).alias("unit")).where("unit is not null"), name
-    )
+    units = vectors.select("id", unit(F.col("vector")).alias("unit")).where("unit is not null")
     distinct = written(
-        units.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")),
-        f"{name}-distinct",
+        units.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")), name
     )
     reps = distinct.select("unit", F.col("id").alias("rep"))
     members = units.join(reps, "unit").select("id", "rep")
@@ -109,7 +113,7 @@ def _spread(vs: VectorSet, pivots: np.ndarray, visits: Visits) -> DataFrame:
                     part = slice(cut, cut + BLOCK_ROWS)
                     yield _placed(batch, rows[part], cells[part], True)
 
-    schema = "cell int, visitor boolean, id bigint, unit array<double>"
+    schema = f"cell int, visitor boolean, id {vs.id_type}, unit array<double>"
     return vs.distinct.select("id", "unit").mapInArrow(assign, schema)
 
 
@@ -188,9 +192,7 @@ def _compare(
 def _pairs_above(limit: float) -> Callable:
     def pick(left, right, similar, same):
         keep = similar >= limit
-        if same:
-            keep &= left[:, None] < right[None, :]
-        x, y = np.nonzero(keep)
+        x, y = np.nonzero(np.triu(keep, 1) if same else keep)
         a, b = left[x], right[y]
         return np.minimum(a, b), np.maximum(a, b), similar[x, y]
 
@@ -202,7 +204,8 @@ def _pairs_best(k: int, limit: float) -> Callable:
 
     def pick(left, right, similar, same):
         a, b, score = above(left, right, similar, same)
-        best = np.lexsort((b, a, -np.round(score, DIGITS)))[:k]
+        ranks = [np.unique(ids, return_inverse=True)[1] for ids in (b, a)]
+        best = np.lexsort((*ranks, -np.round(score, DIGITS)))[:k]
         return a[best], b[best], score[best]
 
     return pick
@@ -233,7 +236,7 @@ def similar_pairs(vectors: DataFrame, min_similarity: float) -> DataFrame:
     """
     vs = fold_copies(vectors)
     placed = _spread(vs, _pivots(vs), _visits_within(_radius(min_similarity)))
-    across = _compare(placed, _pairs_above(min_similarity), PAIR_SCHEMA)
+    across = _compare(placed, _pairs_above(min_similarity), vs.pair_schema)
     copies = vs.distinct.select("id", "copies")
     sized = (
         across.join(copies.select(F.col("id").alias("a"), F.col("copies").alias("copies_a")), "a")
@@ -264,11 +267,11 @@ def top_pairs(vectors: DataFrame, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     pivots = _pivots(vs)
     homes = _spread(vs, pivots, lambda to_pivot, home, least: np.zeros(to_pivot.shape, bool))
-    nearby = _compare(homes, _pairs_best(k, -2.0), PAIR_SCHEMA, local=True)
+    nearby = _compare(homes, _pairs_best(k, -2.0), vs.pair_schema, local=True)
     limits = nearby.orderBy(F.desc("similarity")).limit(k).collect()
     limit = limits[-1].similarity - 10.0**-DIGITS if len(limits) == k else -2.0
     placed = _spread(vs, pivots, _visits_within(_radius(limit)))
-    across = _compare(placed, _pairs_best(k, limit), PAIR_SCHEMA)
+    across = _compare(placed, _pairs_best(k, limit), vs.pair_schema)
 
     score = F.round("similarity", DIGITS)
     reps = across.orderBy(score.desc(), "a", "b").limit(k)
@@ -282,7 +285,7 @@ def top_pairs(vectors: DataFrame, k: int = 10) -> DataFrame:
         .drop("second")
     )
     # At most 2k rows, and at most k + 1 members of each: a bounded expansion.
-    chosen = spark.createDataFrame(reps.unionByName(twins).collect(), PAIR_SCHEMA)
+    chosen = spark.createDataFrame(reps.unionByName(twins).collect(), vs.pair_schema)
     left = firsts.select(F.col("rep").alias("a"), F.col("id").alias("id_a"))
     right = firsts.select(F.col("rep").alias("b"), F.col("id").alias("id_b"))
     expanded = chosen.join(left, "a").join(right, "b").where("a <> b or id_a < id_b")
@@ -312,13 +315,14 @@ def nearest(vectors: DataFrame, k: int = 15) -> DataFrame:
         return inside & np.isfinite(reach)[None, :]
 
     placed = _spread(vs, pivots, visits)
-    schema = "id bigint, neighbour bigint, similarity double"
+    schema = f"id {vs.id_type}, neighbour {vs.id_type}, similarity double"
 
     def pick(homes, guests, similar, same):
         order = np.argsort(homes)
         homes = homes[order]
         scores = np.round(similar[order].T, DIGITS)
-        scores[guests[:, None] == homes[None, :]] = -np.inf
+        _, itself, at = np.intersect1d(guests, homes, assume_unique=True, return_indices=True)
+        scores[itself, at] = -np.inf
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(guests)), best.shape[1])
         found = scores[rows, best.ravel()]

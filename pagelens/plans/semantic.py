@@ -31,7 +31,8 @@ def analyse(
     """Embed what is new or changed in `pages(page_id, html)`, keep the cache under
     `root`, and lay the current pages out."""
     texts = written(page_texts(pages).withColumn("model", F.lit(model)), "texts")
-    cache = load_cache(pages.sparkSession, root)
+    key_type = pages.schema["page_id"].dataType.simpleString()
+    cache = load_cache(pages.sparkSession, root, key_type)
     todo = changed_pages(texts, cache)
     fresh = embed_texts(todo, provider).select("page_id", "embedding")
     made = written(todo.drop("text").join(fresh, "page_id"), "embedded")

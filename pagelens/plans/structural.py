@@ -40,12 +40,7 @@ def analyse(
     within = summary.within_type_pairs(similar, by_type)
     distribution = type_distribution(typed)
     sample = summary.feature_sample(page_features(parsed))
-    counts = distribution.agg(
-        F.sum("pages").alias("total_files"),
-        F.map_from_entries(F.collect_list(F.struct("page_type", "pages"))).alias(
-            "page_type_distribution"
-        ),
-    )
+    counts = summary.type_document(distribution)
     means = summary.mean_of_pairs(similar, "score_ab")
     line = F.struct(*sample.columns)
     lines = sample.agg(F.array_sort(F.collect_list(line)).alias("structural_features_sample"))
