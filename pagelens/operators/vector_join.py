@@ -184,7 +184,10 @@ def _compare(
         units = _matrix(table.column("unit"))
         left, right = own == i, own == j
         found = pick(ids[left], ids[right], units[left] @ units[right].T, i == j)
-        return pa.table([pa.array(column) for column in found], names=names)
+        id_type = table.schema.field("id").type
+        types = [pa.float64() if name == "similarity" else id_type for name in names]
+        arrays = [pa.array(column, kind) for column, kind in zip(found, types, strict=True)]
+        return pa.table(arrays, names=names)
 
     return blocks.groupBy("cell", "i", "j").applyInArrow(meet, schema)
 
@@ -274,27 +277,36 @@ def top_pairs(vectors: DataFrame, k: int = 10) -> DataFrame:
     across = _compare(placed, _pairs_best(k, limit), vs.pair_schema)
 
     score = F.round("similarity", DIGITS)
-    reps = across.orderBy(score.desc(), "a", "b").limit(k)
-    firsts = _first_members(vs, k + 1)
-    twins = (
-        firsts.where("nth = 2")
-        .select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"),
-                F.col("id").alias("second"))
-        .orderBy("a", "second")
-        .limit(k)
-        .drop("second")
-    )
-    # At most 2k rows, and at most k + 1 members of each: a bounded expansion.
-    chosen = spark.createDataFrame(reps.unionByName(twins).collect(), vs.pair_schema)
-    left = firsts.select(F.col("rep").alias("a"), F.col("id").alias("id_a"))
-    right = firsts.select(F.col("rep").alias("b"), F.col("id").alias("id_b"))
-    expanded = chosen.join(left, "a").join(right, "b").where("a <> b or id_a < id_b")
-    pairs = expanded.select(
-        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity"
-    )
-    best = pairs.orderBy(score.desc(), "a", "b").limit(k)
-    order = W.orderBy(score.desc(), "a", "b")
-    return best.select(F.row_number().over(order).cast("bigint").alias("rank"), *pairs.columns)
+    best = across.orderBy(score.desc(), "a", "b").limit(k).collect()
+    twins = vs.distinct.where("copies > 1").orderBy("id").limit(k).collect()
+    chosen = [(row.a, row.b, row.similarity) for row in best] + [(t.id, t.id, 1.0) for t in twins]
+    # At most 2k pairs of vectors, and the first k + 1 ids that hold each: that many ids
+    # make the k best pairs, whatever the number of copies.
+    held = _ids_of(vs, {row[0] for row in chosen} | {row[1] for row in chosen}, k + 1)
+    pairs = {
+        (min(x, y), max(x, y), similarity)
+        for a, b, similarity in chosen
+        for x in held.get(a, [a])
+        for y in held.get(b, [b])
+        if x != y
+    }
+    ranked = sorted(pairs, key=lambda p: (-round(p[2], DIGITS), p[0], p[1]))[:k]
+    rows = [(rank, *pair) for rank, pair in enumerate(ranked, start=1)]
+    return spark.createDataFrame(rows, f"rank bigint, {vs.pair_schema}")
+
+
+def _ids_of(vs: VectorSet, reps: set, count: int) -> dict:
+    """The first ids that hold each listed vector, for those that have copies."""
+    wanted = list(reps)
+    copied = vs.distinct.where(F.col("id").isin(wanted) & (F.col("copies") > 1))
+    reps_copied = [row.id for row in copied.select("id").collect()]
+    if not reps_copied:
+        return {}
+    firsts = _first_members(vs, count).where(F.col("rep").isin(reps_copied))
+    held: dict = {}
+    for row in firsts.orderBy("rep", "id").collect():
+        held.setdefault(row.rep, []).append(row.id)
+    return held
 
 
 def nearest(vectors: DataFrame, k: int = 15) -> DataFrame:

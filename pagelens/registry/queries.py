@@ -40,7 +40,7 @@ QUERIES: dict[str, Query] = {}
 
 VISUAL_LIMIT = 0.3
 STRUCTURAL_LIMIT = 0.95
-TAG_LIMIT = 0.9
+TAG_LIMIT = 0.99
 
 
 def query(function: Query) -> Query:
@@ -606,7 +606,7 @@ def similar_structures(spark, sf):
 
 @query
 def similar_tag_counts(spark, sf):
-    """Every pair of page structures with tag-count cosine of at least 0.9, all terms."""
+    """Every pair of page structures with tag-count cosine of at least 0.99, all terms."""
     _, sigs = signature_tables(spark, sf)
     found = structure.similar_tag_counts(sigs, TAG_LIMIT)
     return rounded(found, 9, "tag_sim", "css_sim", "form_sim", "pattern_sim")
