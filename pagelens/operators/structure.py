@@ -5,7 +5,9 @@ structure (one template) are folded into one signature first and scored once. Th
 reference scale is kept: the score is a mean of weighted terms and goes up to 1.3.
 
 The full n x n matrix is not built. `similar_structures` finds every pair that scores
-at least `min_score`, which is exact and follows from upper bounds on the terms.
+at least `min_score`, which is exact and follows from upper bounds on the terms: the
+numbers of a signature go through the block join of `vector_join`, whose tasks hand
+back only the pairs that can still reach the score.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import difflib
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +31,18 @@ from pagelens.operators.features import (
     long_size,
     tags,
 )
-from pagelens.operators.prefix_join import prefix_pairs, rare_first
+from pagelens.operators.vector_join import candidate_pairs
 from pagelens.session import shuffle_width, written
 
 # Weights of the sequence term and of the pattern term; the others weigh 1.
 SEQUENCE_WEIGHT = 2.0
 PATTERN_WEIGHT = 1.5
 
+# Most frequent names that get a place of their own in a count vector. The others share
+# one last place, which can only raise a similarity, so candidates stay complete.
+TAG_PLACES = 127
+TOKEN_PLACES = 255
+
 # Element fields the signature reads.
 SIGNATURE_FIELDS = ("tag", "attrs", "classes")
 
@@ -184,7 +192,24 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-# -- the join ----------------------------------------------------------------------
+# -- the joins ---------------------------------------------------------------------
+
+
+def frequent_names(rows: DataFrame, names: Column, places: int) -> list[str]:
+    """The names most rows hold: at most `places` strings come back."""
+    single = rows.select(F.explode(F.array_distinct(names)).alias("name"))
+    counted = single.groupBy("name").count().orderBy(F.desc("count"), "name").limit(places)
+    return [row.name for row in counted.select("name").collect()]
+
+
+def count_vector(vocabulary: list[str], square: Column) -> Column:
+    """Counts of the vocabulary's tags from `tag_map`, and the length of all the rest."""
+    listed = F.transform(
+        F.lit(vocabulary) if vocabulary else F.array().cast("array<string>"),
+        lambda name: F.coalesce(F.element_at("tag_map", name), F.lit(0)).cast("double"),
+    )
+    held = F.aggregate(listed, F.lit(0.0), lambda total, n: total + n * n)
+    return F.concat(listed, F.array(F.sqrt(F.greatest(square - held, F.lit(0.0)))))
 
 
 def similar_structures(sigs: DataFrame, min_score: float = 1.2) -> DataFrame:
@@ -193,8 +218,9 @@ def similar_structures(sigs: DataFrame, min_score: float = 1.2) -> DataFrame:
 
     With all other terms at their greatest, the score needs a sequence ratio of at least
     (5 min_score - 4.5) / 2. The ratio is at most the Dice overlap of the tag multisets,
-    which a prefix join finds; the other terms are exact in the join condition, and only
-    pairs whose upper bound passes reach the Python matcher.
+    and that is at most the cosine of the vectors of numbered tags (`p#1`, `p#2`, ...).
+    So a cosine join on these finds every pair; its tasks also bound the whole score from
+    the counts, and only pairs that can reach it go to the Python matcher.
 
     A row stands for `page_pairs` pairs of pages; a = b stands for the pages of one
     signature among themselves.
@@ -210,47 +236,26 @@ def similar_structures(sigs: DataFrame, min_score: float = 1.2) -> DataFrame:
             F.size(F.filter(F.slice("seq", F.lit(1), i + 1), lambda t: t == tag)).cast("string"),
         ),
     )
-    tallied = with_lookup(sigs.drop("structure")).withColumn("seq_counts", tally(F.col("seq")))
     base = written(
-        tallied.withColumn("seq_map", F.map_from_entries("seq_counts")), "signatures"
-    )
-    tokens = base.select("sig", numbered.alias("tokens"))
-    size = F.size("ordered")
-    # A partner of a row with l tokens shares at least needed / (2 - needed) * l of them.
-    share = min(needed, 1.0) / (2 - min(needed, 1.0))
-    length = size - F.ceil(size * share - 1e-9).cast("int") + 1
-    rows = (
-        base.join(rare_first(tokens, "sig", "tokens", "ordered"), "sig")
-        .withColumn("prefix", F.slice("ordered", F.lit(1), length))
-        .drop("ordered")
+        with_lookup(sigs.drop("structure")).withColumn("tokens", numbered), "signatures"
     )
-
-    def may_pass(a: Column, b: Column) -> Column:
-        shared = F.aggregate(
-            a["seq_counts"],
-            F.lit(0).cast("bigint"),
-            lambda total, e: total
-            + F.least(e["n"], F.coalesce(F.element_at(b["seq_map"], e["tag"]), F.lit(0))),
-        )
-        dice = 2.0 * shared / (F.size(a["seq"]) + F.size(b["seq"]))
-        # The cheap bound first: with no other term known, then with all of them.
-        return (dice >= needed - 1e-9) & (_score(a, b, dice) >= min_score - 1e-9)
-
-    met = prefix_pairs(rows, "sig", "prefix", may_pass)
-    # The matcher is the costly step: spread its pairs evenly, whatever token they met on.
-    met = met.repartition(shuffle_width(met), "one.sig", "two.sig")
-    a, b = F.col("one"), F.col("two")
-    scored = met.select(
-        a["sig"].alias("a"),
-        b["sig"].alias("b"),
-        a["pages"].alias("pages_a"),
-        b["pages"].alias("pages_b"),
-        (a["pages"] * b["pages"]).alias("page_pairs"),
-        sequence_ratio(a["seq"], b["seq"]).alias("seq_ab"),
-        sequence_ratio(b["seq"], a["seq"]).alias("seq_ba"),
-        *[term.alias(name) for name, term in _other_terms(a, b).items()],
+    met = candidate_pairs(_shapes(base), min(needed, 1.0) - 1e-9, _can_reach(min_score))
+    payload = F.struct(*[c for c in base.columns if c != "tokens"])
+    one = base.select(F.col("sig").alias("a"), payload.alias("one"))
+    two = base.select(F.col("sig").alias("b"), payload.alias("two"))
+    pairs = met.join(one, "a").join(two, "b")
+    # The matcher is the costly step: spread its pairs evenly.
+    pairs = pairs.repartition(shuffle_width(pairs), "a", "b")
+    scored = pairs.select(
+        "a",
+        "b",
+        F.col("one.pages").alias("pages_a"),
+        F.col("two.pages").alias("pages_b"),
+        (F.col("one.pages") * F.col("two.pages")).alias("page_pairs"),
+        sequence_ratio("one.seq", "two.seq").alias("seq_ab"),
+        sequence_ratio("two.seq", "one.seq").alias("seq_ba"),
+        *[term.alias(name) for name, term in _other_terms(F.col("one"), F.col("two")).items()],
     )
-    row = F.struct(*base.columns)
     alone = base.where("pages > 1").select(
         F.col("sig").alias("a"),
         F.col("sig").alias("b"),
@@ -259,13 +264,67 @@ def similar_structures(sigs: DataFrame, min_score: float = 1.2) -> DataFrame:
         F.expr("pages * (pages - 1) div 2").alias("page_pairs"),
         F.lit(1.0).alias("seq_ab"),
         F.lit(1.0).alias("seq_ba"),
-        *[term.alias(name) for name, term in _other_terms(row, row).items()],
+        *[term.alias(name) for name, term in _other_terms(payload, payload).items()],
     )
     return with_scores(scored.unionByName(alone)).where(
         F.greatest("score_ab", "score_ba") >= min_score
     )
 
 
+_NUMBERS = ["unique_classes", "unique_ids", *FORM_COUNTS]
+
+
+def _shapes(base: DataFrame) -> DataFrame:
+    """(id, vector, extra): numbered tags as a 0/1 vector, and what the bound reads.
+
+    Tags without a place of their own count, all together, as the root of their number in
+    one last place: the product of two roots is at least the smaller number.
+    """
+    tokens = frequent_names(base, F.col("tokens"), TOKEN_PLACES)
+    names = frequent_names(base, F.map_keys("tag_map"), TAG_PLACES)
+    listed = F.transform(
+        F.lit(tokens) if tokens else F.array().cast("array<string>"),
+        lambda token: F.array_contains("tokens", token).cast("double"),
+    )
+    held = F.aggregate(listed, F.lit(0.0), lambda total, n: total + n)
+    others = F.sqrt(F.greatest(F.size("tokens") - held, F.lit(0.0)))
+    extra = F.concat(
+        F.array(
+            F.size("seq").cast("double"),
+            (F.size("patterns") > 0).cast("double"),
+            *[F.col(name).cast("double") for name in _NUMBERS],
+        ),
+        count_vector(names, F.col("square")),
+    )
+    return base.select(
+        F.col("sig").alias("id"), F.concat(listed, F.array(others)).alias("vector"), extra.alias("extra")
+    )
+
+
+def _can_reach(min_score: float):
+    """Test for blocks of shapes: can the score of a pair be `min_score` or more?"""
+    places = 2 + len(_NUMBERS)
+
+    def keep(left: np.ndarray, right: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        def apart(c: int) -> np.ndarray:
+            x, y = left[:, c][:, None], right[:, c][None, :]
+            return np.abs(x - y) / np.maximum(np.maximum(x, y), 1.0)
+
+        sizes = left[:, 0][:, None], right[:, 0][None, :]
+        overlap = cosines * np.sqrt(sizes[0] * sizes[1])
+        dice = np.minimum(2.0 * overlap / (sizes[0] + sizes[1]), 1.0)
+        tags = [side[:, places:] for side in (left, right)]
+        lengths = [np.linalg.norm(t, axis=1) for t in tags]
+        tag = np.minimum((tags[0] @ tags[1].T) / np.outer(*lengths), 1.0)
+        css = 1.0 - (apart(2) + apart(3)) / 2
+        form = 1.0 - sum(apart(4 + n) for n in range(len(FORM_COUNTS))) / len(FORM_COUNTS)
+        patterned = np.maximum(left[:, 1][:, None], right[:, 1][None, :])
+        total = SEQUENCE_WEIGHT * dice + tag + css + form + PATTERN_WEIGHT * patterned
+        return total / (4.0 + patterned) >= min_score - 1e-9
+
+    return keep
+
+
 def _other_terms(a: Column, b: Column) -> dict[str, Column]:
     return {
         "tag_sim": tag_similarity(a, b),
@@ -275,13 +334,6 @@ def _other_terms(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
-def _score(a: Column, b: Column, sequence: Column) -> Column:
-    terms = _other_terms(a, b)
-    return composite(
-        sequence, terms["tag_sim"], terms["css_sim"], terms["form_sim"], terms["pattern_sim"]
-    )
-
-
 def with_scores(terms: DataFrame) -> DataFrame:
     """Add the raw score in both orders and the normalised score to rows of pair terms."""
     tag, css, form, pattern = (
@@ -310,53 +362,52 @@ def score_listed(pairs: DataFrame, structures: DataFrame) -> DataFrame:
     return with_scores(terms)
 
 
-def similar_tag_counts(sigs: DataFrame, min_similarity: float) -> DataFrame:
-    """Every pair of signatures with tag-count cosine of at least `min_similarity` (> 0).
+# -- the tag-count lens ------------------------------------------------------------
 
-    Prefix join on tags: past the prefix, the rest of a row's unit vector is shorter than
-    `min_similarity`, so a partner must share a tag of the prefix.
-    """
-    if min_similarity <= 0:
-        raise ValueError("min_similarity must be above 0, or no pair can be ruled out")
-    zero = F.lit(0).cast("bigint")
-    base = written(with_lookup(sigs.drop("structure", "seq")), "tag-counts")
-    named = base.withColumn("names", F.transform("counts", lambda e: e["tag"]))
-    ordered = named.join(rare_first(named, "sig", "names", "ordered"), "sig")
-    squares = F.transform("ordered", lambda t: F.pow(F.col("tag_map")[t], F.lit(2)))
-    weighed = ordered.withColumn("squares", squares).withColumn(
-        "total", F.aggregate("squares", F.lit(0.0), lambda s, x: s + x)
-    )
 
-    def rest_is_long(_: Column, i: Column) -> Column:
-        """Is the vector from position i on still at least as long as the limit?"""
-        rest = F.slice("squares", i + 1, F.greatest(F.size("squares"), F.lit(1)))
-        length2 = F.aggregate(rest, F.lit(0.0), lambda s, x: s + x)
-        return length2 >= (min_similarity**2 - 1e-9) * F.col("total")
+def page_tag_counts(parsed: DataFrame) -> DataFrame:
+    return parsed.select("page_id", tally(tags()).alias("counts"))
+
 
-    rows = weighed.withColumn("prefix", F.filter("ordered", rest_is_long)).drop(
-        "names", "ordered", "squares", "total"
+def tag_groups(counted: DataFrame) -> DataFrame:
+    """One row per distinct set of tag counts: `sig` (its lowest page id), pages, counts."""
+    return counted.groupBy("counts").agg(
+        F.min("page_id").alias("sig"), F.count("*").alias("pages")
     )
 
-    def similar(a: Column, b: Column) -> Column:
-        return tag_similarity(a, b) >= min_similarity
 
-    met = prefix_pairs(rows, "sig", "prefix", similar)
-    a, b = F.col("one"), F.col("two")
-    pairs = met.select(
-        a["sig"].alias("a"),
-        b["sig"].alias("b"),
-        (a["pages"] * b["pages"]).alias("page_pairs"),
-        *[term.alias(name) for name, term in _other_terms(a, b).items()],
+def group_membership(counted: DataFrame, groups: DataFrame) -> DataFrame:
+    return counted.join(groups.select("counts", "sig"), "counts").select("page_id", "sig")
+
+
+def similar_tag_counts(groups: DataFrame, min_similarity: float) -> DataFrame:
+    """Every pair of tag-count groups with cosine of at least `min_similarity` (> 0).
+
+    A cosine join on the counts of the most frequent tags, all others as one length, finds
+    every pair; the similarity itself comes from the whole counts. A row stands for
+    `page_pairs` pairs of pages; a = b stands for the pages of one group among themselves.
+    """
+    if min_similarity <= 0:
+        raise ValueError("min_similarity must be above 0, or no pair can be ruled out")
+    base = written(with_lookup(groups), "tag-counts")
+    names = frequent_names(base, F.map_keys("tag_map"), TOKEN_PLACES)
+    vectors = base.select(
+        F.col("sig").alias("id"), count_vector(names, F.col("square")).alias("vector")
     )
-    alone = F.struct(*base.columns)
-    within = base.where((F.col("pages") > 1) & (F.size("counts") > 0)).select(
+    met = candidate_pairs(vectors, min_similarity - 1e-9)
+    payload = F.struct("pages", "counts", "tag_map", "square")
+    one = base.select(F.col("sig").alias("a"), payload.alias("one"))
+    two = base.select(F.col("sig").alias("b"), payload.alias("two"))
+    pairs = met.join(one, "a").join(two, "b").select(
+        "a",
+        "b",
+        (F.col("one.pages") * F.col("two.pages")).alias("page_pairs"),
+        tag_similarity(F.col("one"), F.col("two")).alias("tag_sim"),
+    )
+    within = base.where("pages > 1 and square > 0").select(
         F.col("sig").alias("a"),
         F.col("sig").alias("b"),
         F.expr("pages * (pages - 1) div 2").alias("page_pairs"),
-        *[term.alias(name) for name, term in _other_terms(alone, alone).items()],
-    )
-    # A signature's cosine with itself is 1 but for rounding.
-    within = within.withColumn("tag_sim", F.least("tag_sim", F.lit(1.0)))
-    return pairs.unionByName(within).where(
-        (F.col("tag_sim") >= min_similarity) | (F.col("a") == F.col("b"))
+        F.lit(1.0).alias("tag_sim"),
     )
+    return pairs.where(F.col("tag_sim") >= min_similarity).unionByName(within)

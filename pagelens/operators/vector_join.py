@@ -33,7 +33,7 @@ _SLACK = 1e-6
 class VectorSet:
     """Distinct unit vectors, each under its lowest id, and which id stands for which."""
 
-    distinct: DataFrame  # id, copies, unit
+    distinct: DataFrame  # id, copies, unit, extra
     members: DataFrame  # id, rep
     count: int
 
@@ -48,16 +48,20 @@ class VectorSet:
 
 def fold_copies(vectors: DataFrame, name: str = "vectors") -> VectorSet:
     """Keep one row per distinct vector of `vectors(id, vector)`, which is read twice and
-    should be a table or written.
+    should be a table or written. An `extra` column (an array of numbers for the join's
+    own filter) counts as part of the vector.
 
     Null and zero vectors have no direction and take no part in any pair.
     """
-    units = vectors.select("id", unit(F.col("vector")).alias("unit")).where("unit is not null")
-    distinct = written(
-        units.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")), name
+    extra = F.col("extra") if "extra" in vectors.columns else F.array().cast("array<double>")
+    given = vectors.select("id", "vector", extra.alias("extra"))
+    given = given.where(unit(F.col("vector")).isNotNull())
+    counted = given.groupBy("vector", "extra").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies")
     )
-    reps = distinct.select("unit", F.col("id").alias("rep"))
-    members = units.join(reps, "unit").select("id", "rep")
+    distinct = written(counted.withColumn("unit", unit(F.col("vector"))), name)
+    reps = distinct.select("vector", "extra", F.col("id").alias("rep"))
+    members = given.join(reps, ["vector", "extra"]).select("id", "rep")
     return VectorSet(distinct, members, distinct.count())
 
 
@@ -75,7 +79,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1)
+    return values.reshape(len(column), len(values) // max(len(column), 1))
 
 
 def _distances(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -96,7 +100,7 @@ Visits = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _spread(vs: VectorSet, pivots: np.ndarray, visits: Visits) -> DataFrame:
-    """(cell, visitor, id, unit): each vector in its home cell and, as a visitor, in the
+    """(cell, visitor, id, unit, extra): each vector in its home cell and, as a visitor, in the
     cells `visits(distances, home, least distances)` marks."""
     between = _distances(pivots, pivots)
 
@@ -113,8 +117,8 @@ def _spread(vs: VectorSet, pivots: np.ndarray, visits: Visits) -> DataFrame:
                     part = slice(cut, cut + BLOCK_ROWS)
                     yield _placed(batch, rows[part], cells[part], True)
 
-    schema = f"cell int, visitor boolean, id {vs.id_type}, unit array<double>"
-    return vs.distinct.select("id", "unit").mapInArrow(assign, schema)
+    schema = f"cell int, visitor boolean, id {vs.id_type}, unit array<double>, extra array<double>"
+    return vs.distinct.select("id", "unit", "extra").mapInArrow(assign, schema)
 
 
 def _placed(
@@ -123,8 +127,8 @@ def _placed(
     taken = batch.take(pa.array(rows))
     flags = np.full(len(rows), visitor)
     return pa.RecordBatch.from_arrays(
-        [pa.array(cells, pa.int32()), pa.array(flags), taken.column(0), taken.column(1)],
-        names=["cell", "visitor", "id", "unit"],
+        [pa.array(cells, pa.int32()), pa.array(flags), *taken.columns],
+        names=["cell", "visitor", "id", "unit", "extra"],
     )
 
 
@@ -164,26 +168,28 @@ def _in_blocks(placed: DataFrame, ordered: bool) -> DataFrame:
     as_visitor = groups(F.lit(0), F.col("h"), lambda i: pair(i, own))
     memberships = F.when(F.col("visitor"), as_visitor).otherwise(F.concat(as_home, before))
     return numbered.select(
-        "cell", "block", "visitor", "id", "unit", F.inline(memberships)
+        "cell", "block", "visitor", "id", "unit", "extra", F.inline(memberships)
     )
 
 
 def _compare(
     placed: DataFrame, pick: Callable, schema: str, ordered: bool = True, local: bool = False
 ) -> DataFrame:
-    """Run `pick(left ids, right ids, similarities, same block)` on every group."""
+    """Run `pick(left, right, same block)` on the two blocks of every group."""
     blocks = _in_blocks(placed, ordered)
     if local:
         blocks = blocks.where("i = j")
     names = [field.split()[0] for field in schema.split(", ")]
 
     def meet(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
         own = table.column("block").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        units = _matrix(table.column("unit"))
-        left, right = own == i, own == j
-        found = pick(ids[left], ids[right], units[left] @ units[right].T, i == j)
+        every = Block(
+            table.column("id").to_numpy(),
+            _matrix(table.column("unit")),
+            _matrix(table.column("extra")),
+        )
+        found = pick(every.rows(own == i), every.rows(own == j), i == j)
         id_type = table.schema.field("id").type
         types = [pa.float64() if name == "similarity" else id_type for name in names]
         arrays = [pa.array(column, kind) for column, kind in zip(found, types, strict=True)]
@@ -192,11 +198,31 @@ def _compare(
     return blocks.groupBy("cell", "i", "j").applyInArrow(meet, schema)
 
 
-def _pairs_above(limit: float) -> Callable:
-    def pick(left, right, similar, same):
-        keep = similar >= limit
-        x, y = np.nonzero(np.triu(keep, 1) if same else keep)
-        a, b = left[x], right[y]
+@dataclass
+class Block:
+    """Rows of one block: ids, unit vectors, extra numbers."""
+
+    ids: np.ndarray
+    units: np.ndarray
+    extra: np.ndarray
+
+    def rows(self, chosen: np.ndarray) -> Block:
+        return Block(self.ids[chosen], self.units[chosen], self.extra[chosen])
+
+
+# A further test of all pairs of two blocks: (left extra, right extra, similarities) to a
+# boolean matrix.
+Keep = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _pairs_above(limit: float, keep: Keep | None = None) -> Callable:
+    def pick(left, right, same):
+        similar = left.units @ right.units.T
+        passed = similar >= limit
+        if keep:
+            passed &= keep(left.extra, right.extra, similar)
+        x, y = np.nonzero(np.triu(passed, 1) if same else passed)
+        a, b = left.ids[x], right.ids[y]
         return np.minimum(a, b), np.maximum(a, b), similar[x, y]
 
     return pick
@@ -205,8 +231,8 @@ def _pairs_above(limit: float) -> Callable:
 def _pairs_best(k: int, limit: float) -> Callable:
     above = _pairs_above(limit)
 
-    def pick(left, right, similar, same):
-        a, b, score = above(left, right, similar, same)
+    def pick(left, right, same):
+        a, b, score = above(left, right, same)
         ranks = [np.unique(ids, return_inverse=True)[1] for ids in (b, a)]
         best = np.lexsort((*ranks, -np.round(score, DIGITS)))[:k]
         return a[best], b[best], score[best]
@@ -238,8 +264,7 @@ def similar_pairs(vectors: DataFrame, min_similarity: float) -> DataFrame:
     with a = b stands for the pairs among the copies of one vector.
     """
     vs = fold_copies(vectors)
-    placed = _spread(vs, _pivots(vs), _visits_within(_radius(min_similarity)))
-    across = _compare(placed, _pairs_above(min_similarity), vs.pair_schema)
+    across = distinct_pairs(vs, min_similarity)
     copies = vs.distinct.select("id", "copies")
     sized = (
         across.join(copies.select(F.col("id").alias("a"), F.col("copies").alias("copies_a")), "a")
@@ -260,6 +285,25 @@ def similar_pairs(vectors: DataFrame, min_similarity: float) -> DataFrame:
     return sized.select(columns).unionByName(within)
 
 
+def distinct_pairs(vs: VectorSet, min_similarity: float, keep: Keep | None = None) -> DataFrame:
+    """Pairs of different vectors above the limit that also pass `keep`."""
+    placed = _spread(vs, _pivots(vs), _visits_within(_radius(min_similarity)))
+    return _compare(placed, _pairs_above(min_similarity, keep), vs.pair_schema)
+
+
+def candidate_pairs(vectors: DataFrame, min_similarity: float, keep: Keep | None = None) -> DataFrame:
+    """Pairs (a, b) of ids, a < b, for a closer test: `distinct_pairs` and, for vectors
+    that several ids share, the pairs among those."""
+    vs = fold_copies(vectors, "candidates")
+    reps = distinct_pairs(vs, min_similarity, keep).select("a", "b")
+    shared = vs.distinct.where("copies > 1")
+    pairs = reps.unionByName(shared.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    left = vs.members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
+    right = vs.members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").where("a <> b or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def top_pairs(vectors: DataFrame, k: int = 10) -> DataFrame:
     """The k most similar pairs of ids, ties in id order, as (rank, a, b, similarity).
 
@@ -329,10 +373,10 @@ def nearest(vectors: DataFrame, k: int = 15) -> DataFrame:
     placed = _spread(vs, pivots, visits)
     schema = f"id {vs.id_type}, neighbour {vs.id_type}, similarity double"
 
-    def pick(homes, guests, similar, same):
-        order = np.argsort(homes)
-        homes = homes[order]
-        scores = np.round(similar[order].T, DIGITS)
+    def pick(home, guest, same):
+        order = np.argsort(home.ids)
+        homes, guests = home.ids[order], guest.ids
+        scores = np.round(guest.units @ home.units[order].T, DIGITS)
         _, itself, at = np.intersect1d(guests, homes, assume_unique=True, return_indices=True)
         scores[itself, at] = -np.inf
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]

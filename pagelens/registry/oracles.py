@@ -363,20 +363,21 @@ lengths AS (SELECT k, sqrt(sum(n * n)) AS len FROM long_counts GROUP BY k)"""
 
 
 def tag_pairs(pages: str, base: str | None = None) -> str:
-    """CTEs up to `tagalike`: signatures with tag cosine above the limit."""
-    return f"""{structures_sql(pages, base)},
-{TAG_DOTS.format(key='sig', table='sigs')},
+    """CTEs up to `tagalike`: distinct tag counts with cosine above the limit."""
+    return f"""{base or tokens(pages)},
+counted AS (SELECT page_id, list(struct_pack(tag := tag, n := n) ORDER BY tag) AS counts
+  FROM (SELECT page_id, tag, count(*) AS n FROM el GROUP BY ALL) GROUP BY page_id),
+groups AS (SELECT min(page_id) AS sig, count(*) AS pages, counts FROM counted GROUP BY counts),
+{TAG_DOTS.format(key='sig', table='groups')},
 dots AS (SELECT x.k AS a, y.k AS b, sum(x.n * y.n) AS dot
   FROM long_counts x JOIN long_counts y ON x.tag = y.tag AND x.k < y.k GROUP BY ALL),
 tagalike AS (
-  SELECT d.a, d.b, {big('x.pages * y.pages')} AS page_pairs, d.dot / (p.len * q.len) AS tag_sim,
-    {pair_terms('x', 'y')}
+  SELECT d.a, d.b, {big('x.pages * y.pages')} AS page_pairs, d.dot / (p.len * q.len) AS tag_sim
   FROM dots d JOIN lengths p ON p.k = d.a JOIN lengths q ON q.k = d.b
-  JOIN sigs x ON x.sig = d.a JOIN sigs y ON y.sig = d.b
+  JOIN groups x ON x.sig = d.a JOIN groups y ON y.sig = d.b
   WHERE d.dot / (p.len * q.len) >= {TAG_LIMIT}
   UNION ALL
-  SELECT sig, sig, {big('pages * (pages - 1) // 2')}, 1.0, 1.0, 1.0,
-    CASE WHEN len(pats) > 0 THEN 1.0 END FROM sigs WHERE pages > 1)"""
+  SELECT sig, sig, {big('pages * (pages - 1) // 2')}, 1.0 FROM groups WHERE pages > 1)"""
 
 
 NEXT_PAIRS = f"""{structures_sql(DRESSED)},
@@ -386,10 +387,7 @@ dots AS (SELECT x.k AS a, y.k AS b, sum(x.n * y.n) AS dot
 
 # Types and structures of the dressed pages, from one element table.
 TYPED_TAG_PAIRS = f"""{tag_pairs(DRESSED, page_types_sql(DRESSED))},
-members AS (SELECT s.page_id, g.sig FROM struct s JOIN sigs g
-  ON s.seq = g.seq AND s.counts = g.counts AND s.unique_classes = g.unique_classes
-  AND s.unique_ids = g.unique_ids AND s.pats = g.pats
-  AND {' AND '.join(f's.{t}_count = g.{t}_count' for t in FORM_TAGS)}),
+members AS (SELECT page_id, sig FROM counted JOIN groups USING (counts)),
 by_type AS (SELECT sig, page_type, count(*) AS n FROM members JOIN typed USING (page_id)
   GROUP BY ALL),
 within AS (SELECT page_type, a, b, {big('CASE WHEN a = b THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END')}
@@ -651,8 +649,7 @@ WHERE NOT EXISTS (SELECT 1 FROM cache k
     "structure_signatures": f"""WITH {structures_sql(GIVEN)}
 SELECT sig, pages, array_to_string(seq, ',') AS seq, unique_classes, unique_ids FROM sigs""",
     "similar_tag_counts": f"""WITH {tag_pairs(DRESSED)}
-SELECT a, b, page_pairs, round(tag_sim, 9) AS tag_sim, round(css_sim, 9) AS css_sim,
-  round(form_sim, 9) AS form_sim, round(pattern_sim, 9) AS pattern_sim FROM tagalike""",
+SELECT a, b, page_pairs, round(tag_sim, 9) AS tag_sim FROM tagalike""",
     "listed_pair_terms": f"""WITH {NEXT_PAIRS}
 SELECT d.a, d.b, round(d.dot / (p.len * q.len), 9) AS tag_sim, round(css_sim, 9) AS css_sim,
   round(form_sim, 9) AS form_sim, round(pattern_sim, 9) AS pattern_sim

@@ -575,14 +575,6 @@ def embedding_cost(spark, sf):
 # -- pairs -------------------------------------------------------------------------
 
 
-def signature_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
-    structures = written(
-        structure.page_structures(inputs.dressed(spark, sf, structure.SIGNATURE_FIELDS)),
-        "structures",
-    )
-    return structures, written(structure.signatures(structures), "sigs")
-
-
 @query
 def structure_signatures(spark, sf):
     """Distinct structures of the given pages, with how many pages each has."""
@@ -604,12 +596,21 @@ def similar_structures(spark, sf):
     return rounded(found, 9, "score_ab", "score_ba", "score_norm", "seq_ab", "seq_ba", "tag_sim")
 
 
+@query
+def similar_dressed_structures(spark, sf):
+    """The same of the dressed pages, which have classes, ids, forms and patterns."""
+    sigs = structure.signatures(
+        structure.page_structures(inputs.dressed(spark, sf, structure.SIGNATURE_FIELDS))
+    )
+    found = structure.similar_structures(sigs, 1.27)
+    return rounded(found, 9, "score_ab", "score_ba", "score_norm", "seq_ab", "seq_ba", "tag_sim")
+
+
 @query
 def similar_tag_counts(spark, sf):
-    """Every pair of page structures with tag-count cosine of at least 0.99, all terms."""
-    _, sigs = signature_tables(spark, sf)
-    found = structure.similar_tag_counts(sigs, TAG_LIMIT)
-    return rounded(found, 9, "tag_sim", "css_sim", "form_sim", "pattern_sim")
+    """Every pair of distinct tag counts with a cosine of at least 0.99."""
+    groups = structure.tag_groups(structure.page_tag_counts(inputs.dressed(spark, sf, ("tag",))))
+    return rounded(structure.similar_tag_counts(groups, TAG_LIMIT), 9, "tag_sim")
 
 
 @query
@@ -733,11 +734,11 @@ def tag_lens_by_type(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Pairs alike by tag counts, with the tag term as their score, and types per signature."""
     fields = ("tag", "attrs", "classes", "own_string")
     pages = written(inputs.dressed(spark, sf, fields), "parsed")
-    structures = written(structure.page_structures(pages), "structures")
-    sigs = written(structure.signatures(structures), "sigs")
-    similar = structure.similar_tag_counts(sigs, TAG_LIMIT)
+    counted = structure.page_tag_counts(pages)
+    groups = written(structure.tag_groups(counted), "tag-groups")
+    similar = structure.similar_tag_counts(groups, TAG_LIMIT)
     scored = similar.withColumn("score_ab", F.col("tag_sim")).withColumn("score_ba", F.col("tag_sim"))
-    members = structure.membership(structures, sigs)
+    members = structure.group_membership(counted, groups)
     by_type = summary.type_members(members, page_types.classify(pages))
     return scored, written(by_type, "by-type")
 

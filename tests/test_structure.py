@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import pages, parsed
-from pagelens.operators import prefix_join, structure, summary
+from pagelens.operators import structure, summary, vector_join
 from pagelens.plans import structural
 
 
@@ -42,9 +42,11 @@ def brute_score(x, y):
     return float(np.mean(terms))
 
 
-@pytest.mark.parametrize(("limit", "block"), [(1.2, 2000), (1.0, 3), (0.91, 5)])
-def test_similar_structures_against_brute_force(spark, monkeypatch, limit, block):
-    monkeypatch.setattr(prefix_join, "BLOCK_ROWS", block)
+@pytest.mark.parametrize(("limit", "block", "places"), [(1.2, 2000, 127), (1.0, 9, 3), (0.91, 20, 40)])
+def test_similar_structures_against_brute_force(spark, monkeypatch, limit, block, places):
+    monkeypatch.setattr(vector_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(structure, "TOKEN_PLACES", places)
+    monkeypatch.setattr(structure, "TAG_PLACES", places)
     sigs = structure.signatures(structure.page_structures(parsed(spark, *random_pages())))
     rows = sigs.collect()
     found = {(r.a, r.b): r for r in structure.similar_structures(sigs, limit).collect()}
@@ -78,14 +80,16 @@ def test_low_limits_are_refused(spark):
     with pytest.raises(ValueError, match="0.9"):
         structure.similar_structures(sigs, 0.9)
     with pytest.raises(ValueError, match="above 0"):
-        structure.similar_tag_counts(sigs, 0.0)
+        structure.similar_tag_counts(structure.tag_groups(structure.page_tag_counts(parsed(spark, "<p>"))), 0.0)
 
 
-@pytest.mark.parametrize("limit", [0.99, 0.5])
-def test_similar_tag_counts_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(prefix_join, "BLOCK_ROWS", 4)
-    sigs = structure.signatures(structure.page_structures(parsed(spark, *random_pages(seed=9))))
-    rows = [r for r in sigs.collect() if r["counts"]]
+@pytest.mark.parametrize(("limit", "places"), [(0.99, 255), (0.5, 2)])
+def test_similar_tag_counts_against_brute_force(spark, monkeypatch, limit, places):
+    monkeypatch.setattr(vector_join, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(structure, "TOKEN_PLACES", places)
+    counted = structure.page_tag_counts(parsed(spark, *random_pages(seed=9)))
+    groups = structure.tag_groups(counted)
+    rows = [r for r in groups.collect() if r["counts"]]
     vectors = {r.sig: {e.tag: e.n for e in r["counts"]} for r in rows}
 
     def cosine(x, y):
@@ -95,8 +99,11 @@ def test_similar_tag_counts_against_brute_force(spark, monkeypatch, limit):
     expected = {
         (a, b) for a in vectors for b in vectors if a < b and cosine(vectors[a], vectors[b]) >= limit
     }
-    found = structure.similar_tag_counts(sigs, limit).where("a <> b").collect()
-    assert {(r.a, r.b) for r in found} == expected and len(found) == len(expected)
+    found = structure.similar_tag_counts(groups, limit).collect()
+    across = [(r.a, r.b) for r in found if r.a != r.b]
+    assert set(across) == expected and len(across) == len(expected)
+    within = {r.a: r.page_pairs for r in found if r.a == r.b}
+    assert within == {r.sig: r.pages * (r.pages - 1) // 2 for r in rows if r.pages > 1}
 
 
 def test_symmetric_terms_and_listed_pairs(spark):
