@@ -26,7 +26,13 @@ from pagelens.registry.inputs import (
     REQUEST_URL,
     STATUS,
 )
-from pagelens.registry.queries import STRUCTURAL_LIMIT, TAG_LIMIT, VISUAL_LIMIT
+from pagelens.registry.queries import (
+    DRESSED_SCORE_LIMIT,
+    SCORE_LIMIT,
+    STRUCTURAL_LIMIT,
+    TAG_LIMIT,
+    VISUAL_LIMIT,
+)
 
 GIVEN = "SELECT page_id, html FROM pages"
 DRESSED = f"""SELECT doc_id AS page_id, {DRESSED_HTML} AS html
@@ -385,6 +391,100 @@ NEXT_PAIRS = f"""{structures_sql(DRESSED)},
 dots AS (SELECT x.k AS a, y.k AS b, sum(x.n * y.n) AS dot
   FROM long_counts x JOIN long_counts y ON x.tag = y.tag AND y.k = x.k + 1 GROUP BY ALL)"""
 
+
+def ratio_sql(pairs: str, table: str, key: str) -> str:
+    """CTEs up to `ratios(a, b, ratio)`: matching blocks of the two sequences of each pair.
+
+    The longest common run of a segment (the earliest in the first, then in the second
+    sequence) cuts it into the parts before and after, which are treated alike.
+    """
+    return f"""
+places AS (SELECT {key} AS k, unnest(range(len(seq))) AS i, unnest(seq) AS tag FROM {table}),
+same AS (SELECT p.a, p.b, x.i, y.i AS j FROM {pairs} p JOIN places x ON x.k = p.a
+  JOIN places y ON y.k = p.b AND y.tag = x.tag),
+runs AS (SELECT a, b, i, j, row_number() OVER (PARTITION BY a, b, i - j, part ORDER BY i) AS run
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS part FROM same)),
+segs AS (
+  SELECT p.a, p.b, {big('0')} AS alo, {big('len(x.seq)')} AS ahi, {big('0')} AS blo,
+    {big('len(y.seq)')} AS bhi, {big('0')} AS m
+  FROM {pairs} p JOIN {table} x ON x.{key} = p.a JOIN {table} y ON y.{key} = p.b
+  UNION ALL
+  SELECT a, b, CASE WHEN side = 0 THEN alo ELSE best.si + best.n END,
+    CASE WHEN side = 0 THEN best.si ELSE ahi END,
+    CASE WHEN side = 0 THEN blo ELSE best.sj + best.n END,
+    CASE WHEN side = 0 THEN best.sj ELSE bhi END,
+    CASE WHEN side = 0 THEN best.n ELSE 0 END
+  FROM (SELECT a, b, alo, ahi, blo, bhi, arg_min(
+      struct_pack(n := n, si := i - n + 1, sj := j - n + 1), (-n, i - n + 1, j - n + 1)) AS best
+    FROM (SELECT s.*, r.i, r.j, least(r.run, r.i - s.alo + 1, r.j - s.blo + 1) AS n
+      FROM segs s JOIN runs r ON r.a = s.a AND r.b = s.b AND r.i >= s.alo AND r.i < s.ahi
+        AND r.j >= s.blo AND r.j < s.bhi)
+    GROUP BY a, b, alo, ahi, blo, bhi), (VALUES (0), (1)) AS sides(side)),
+ratios AS (SELECT a, b,
+    CASE WHEN max(ahi + bhi) = 0 THEN 1 ELSE 2 * sum(m) / max(ahi + bhi) END AS ratio
+  FROM segs GROUP BY a, b)"""
+
+
+def composite_sql(ratio: str) -> str:
+    """Raw score; every page here has tags."""
+    return (
+        f"((2 * {ratio} + tag_sim + css_sim + form_sim + 1.5 * coalesce(pattern_sim, 0))"
+        " / (4 + CAST(pattern_sim IS NOT NULL AS INT)))"
+    )
+
+
+SCORES = f"""round(f.ratio, 9) AS seq_ab, round(g.ratio, 9) AS seq_ba,
+  round({composite_sql('f.ratio')}, 9) AS score_ab,
+  round({composite_sql('g.ratio')}, 9) AS score_ba,
+  round({composite_sql('f.ratio')} * (4 + CAST(pattern_sim IS NOT NULL AS INT))
+    / (5 + 1.5 * CAST(pattern_sim IS NOT NULL AS INT)), 9) AS score_norm"""
+BOTH_RATIOS = """JOIN ratios f ON f.a = c.a AND f.b = c.b
+  JOIN ratios g ON g.a = c.b AND g.b = c.a"""
+
+
+def similar_structures_sql(pages: str, limit: float) -> str:
+    """All pairs of signatures; those that could not reach the limit are left out before
+    the matching, by the Dice overlap of their tags, which the ratio cannot exceed."""
+    reach = f"greatest({composite_sql('f.ratio')}, {composite_sql('g.ratio')})"
+    return f"""WITH RECURSIVE {structures_sql(pages)},
+{TAG_DOTS.format(key='sig', table='sigs')},
+dots AS (SELECT x.k AS a, y.k AS b, sum(x.n * y.n) AS dot
+  FROM long_counts x JOIN long_counts y ON x.tag = y.tag AND x.k <= y.k GROUP BY ALL),
+terms AS (SELECT d.a, d.b, x.pages AS pages_a, y.pages AS pages_b,
+    CASE WHEN d.a = d.b THEN {big('x.pages * (x.pages - 1) // 2')}
+      ELSE {big('x.pages * y.pages')} END AS page_pairs,
+    d.dot / (p.len * q.len) AS tag_sim, {pair_terms('x', 'y')}
+  FROM dots d JOIN lengths p ON p.k = d.a JOIN lengths q ON q.k = d.b
+  JOIN sigs x ON x.sig = d.a JOIN sigs y ON y.sig = d.b WHERE d.a < d.b OR x.pages > 1),
+first_tags AS (SELECT sig AS k, len(seq) AS l, unnest(seq) AS tag FROM sigs),
+tallies AS (SELECT k, l, tag, count(*) AS n FROM first_tags GROUP BY ALL),
+overlaps AS (SELECT x.k AS a, y.k AS b, 2 * sum(least(x.n, y.n)) / any_value(x.l + y.l) AS dice
+  FROM tallies x JOIN tallies y ON x.tag = y.tag AND x.k <= y.k GROUP BY x.k, y.k),
+cand AS (SELECT t.* FROM terms t JOIN overlaps o USING (a, b)
+  WHERE {composite_sql('dice')} >= {limit} - 1e-9),
+pairs AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM cand UNION ALL SELECT b, a FROM cand)),
+{ratio_sql('pairs', 'sigs', 'sig')}
+SELECT c.a, c.b, pages_a, pages_b, page_pairs, round(tag_sim, 9) AS tag_sim,
+  round(css_sim, 9) AS css_sim, round(form_sim, 9) AS form_sim,
+  round(pattern_sim, 9) AS pattern_sim, {SCORES}
+FROM cand c {BOTH_RATIOS} WHERE {reach} >= {limit}"""
+
+
+WORDS = r"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def hashed_words_sql(table: str, size: int) -> str:
+    """CTEs up to `hashed(id, dim, value)` from `table(id, text)`."""
+    return f"""
+words AS (SELECT id, unnest({WORDS.format(text='text')}) AS w FROM {table}),
+filled AS (SELECT id, {big(f"CAST('0x' || substr(md5(w), 1, 8) AS UBIGINT) % {size}")} AS dim,
+    count(*) AS n FROM words GROUP BY ALL),
+norms AS (SELECT id, sqrt(sum(n * n)) AS len FROM filled GROUP BY id),
+grid AS (SELECT id, unnest(range({size})) AS dim FROM {table}),
+hashed AS (SELECT id, dim, coalesce(n / len, 0) AS value
+  FROM grid LEFT JOIN filled USING (id, dim) LEFT JOIN norms USING (id))"""
+
+
 # Types and structures of the dressed pages, from one element table.
 TYPED_TAG_PAIRS = f"""{tag_pairs(DRESSED, page_types_sql(DRESSED))},
 members AS (SELECT page_id, sig FROM counted JOIN groups USING (counts)),
@@ -656,6 +756,24 @@ SELECT d.a, d.b, round(d.dot / (p.len * q.len), 9) AS tag_sim, round(css_sim, 9)
 FROM (SELECT d.*, {pair_terms('x', 'y')} FROM dots d JOIN struct x ON x.page_id = d.a
   JOIN struct y ON y.page_id = d.b) d
 JOIN lengths p ON p.k = d.a JOIN lengths q ON q.k = d.b""",
+    "similar_structures": similar_structures_sql(GIVEN, SCORE_LIMIT),
+    "similar_dressed_structures": similar_structures_sql(DRESSED, DRESSED_SCORE_LIMIT),
+    "listed_pair_scores": f"""WITH RECURSIVE {NEXT_PAIRS},
+cand AS (SELECT d.a, d.b, d.dot / (p.len * q.len) AS tag_sim, {pair_terms('x', 'y')}
+  FROM dots d JOIN lengths p ON p.k = d.a JOIN lengths q ON q.k = d.b
+  JOIN struct x ON x.page_id = d.a JOIN struct y ON y.page_id = d.b),
+pairs AS (SELECT a, b FROM cand UNION ALL SELECT b, a FROM cand),
+{ratio_sql('pairs', 'struct', 'page_id')}
+SELECT c.a, c.b, {SCORES} FROM cand c {BOTH_RATIOS}""",
+    "text_embeddings": f"""WITH src AS (SELECT doc_id AS id, text FROM documents),
+{hashed_words_sql('src', 32)}
+SELECT id, dim, round(value, 6) AS value FROM hashed""",
+    "described_embeddings": f"""WITH prompts AS (SELECT page_id AS id,
+  '{PROMPT_HEAD}' || substr(html, 1, {PROMPT_CHARS}) || '{PROMPT_TAIL}' AS p FROM pages),
+src AS (SELECT id, length(p) || ' characters, '
+  || {big("(length(p) - length(replace(p, '<p', ''))) // 2")} || ' paragraphs' AS text FROM prompts),
+{hashed_words_sql('src', 16)}
+SELECT id, dim, round(value, 6) AS value FROM hashed""",
     "similar_vectors": f"""WITH {VISUAL_ALIKE}
 SELECT a, b, round(similarity, 9) AS similarity, copies_a, copies_b, {big('page_pairs')}
   AS page_pairs, {BAND.format(s='similarity')} AS band, round(1 - similarity, 9) AS distance

@@ -41,6 +41,12 @@ QUERIES: dict[str, Query] = {}
 VISUAL_LIMIT = 0.3
 STRUCTURAL_LIMIT = 0.95
 TAG_LIMIT = 0.99
+SCORE_LIMIT = 1.2
+DRESSED_SCORE_LIMIT = 1.27
+SCORE_COLUMNS = [
+    "seq_ab", "seq_ba", "score_ab", "score_ba", "score_norm",
+    "tag_sim", "css_sim", "form_sim", "pattern_sim",
+]
 
 
 def query(function: Query) -> Query:
@@ -592,8 +598,7 @@ def similar_structures(spark, sf):
     sigs = structure.signatures(
         structure.page_structures(parsed(spark, sf, structure.SIGNATURE_FIELDS))
     )
-    found = structure.similar_structures(sigs, 1.2)
-    return rounded(found, 9, "score_ab", "score_ba", "score_norm", "seq_ab", "seq_ba", "tag_sim")
+    return rounded(structure.similar_structures(sigs, SCORE_LIMIT), 9, *SCORE_COLUMNS)
 
 
 @query
@@ -602,8 +607,7 @@ def similar_dressed_structures(spark, sf):
     sigs = structure.signatures(
         structure.page_structures(inputs.dressed(spark, sf, structure.SIGNATURE_FIELDS))
     )
-    found = structure.similar_structures(sigs, 1.27)
-    return rounded(found, 9, "score_ab", "score_ba", "score_norm", "seq_ab", "seq_ba", "tag_sim")
+    return rounded(structure.similar_structures(sigs, DRESSED_SCORE_LIMIT), 9, *SCORE_COLUMNS)
 
 
 @query
