@@ -458,9 +458,9 @@ terms AS (SELECT d.a, d.b, x.pages AS pages_a, y.pages AS pages_b,
   JOIN sigs x ON x.sig = d.a JOIN sigs y ON y.sig = d.b WHERE d.a < d.b OR x.pages > 1),
 first_tags AS (SELECT sig AS k, len(seq) AS l, unnest(seq) AS tag FROM sigs),
 tallies AS (SELECT k, l, tag, count(*) AS n FROM first_tags GROUP BY ALL),
-overlaps AS (SELECT x.k AS a, y.k AS b, 2 * sum(least(x.n, y.n)) / any_value(x.l + y.l) AS dice
+dices AS (SELECT x.k AS a, y.k AS b, 2 * sum(least(x.n, y.n)) / any_value(x.l + y.l) AS dice
   FROM tallies x JOIN tallies y ON x.tag = y.tag AND x.k <= y.k GROUP BY x.k, y.k),
-cand AS (SELECT t.* FROM terms t JOIN overlaps o USING (a, b)
+cand AS (SELECT t.* FROM terms t JOIN dices o USING (a, b)
   WHERE {composite_sql('dice')} >= {limit} - 1e-9),
 pairs AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM cand UNION ALL SELECT b, a FROM cand)),
 {ratio_sql('pairs', 'sigs', 'sig')}
