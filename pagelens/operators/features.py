@@ -1,8 +1,8 @@
 """Per-page features as expressions over a parsed page's `elements` array.
 
-None of the per-page features shuffles. The counters (one row per page and key)
-group on the page with partial aggregation; a page's elements sit in one task, so
-what is shuffled is already one row per key.
+None of the per-page features shuffles, nor do the tag counters. The counters of open
+key sets (classes, ids, input types, meta names) group on page and key with partial
+aggregation; a page sits in one task, so what is shuffled is one row per key.
 """
 
 from __future__ import annotations
@@ -234,9 +234,37 @@ def counter(keyed: DataFrame, key: str) -> DataFrame:
     )
 
 
+def tag_tally() -> Column:
+    """(tag, n, first_pos) of each tag of a page, in order of first appearance. A page has
+    few distinct tags, so counting inside its row is cheaper than a group."""
+    names = tags()
+    return F.transform(
+        F.array_distinct(names),
+        lambda name: F.struct(
+            name.alias("tag"),
+            long_size(F.filter(names, lambda t: t == name)).alias("n"),
+            (F.array_position(names, name) - 1).alias("first_pos"),
+        ),
+    )
+
+
 def tag_counts(parsed: DataFrame) -> DataFrame:
-    keyed = parsed.select("page_id", F.posexplode(tags()).alias("pos", "tag"))
-    return counter(keyed, "tag")
+    return parsed.select("page_id", F.inline(tag_tally()))
+
+
+def top_tags(parsed: DataFrame, k: int = TOP_TAGS) -> DataFrame:
+    """The k most frequent tags of each page, ties by first appearance; no shuffle."""
+    by_count = F.array_sort(
+        F.transform(
+            tag_tally(),
+            lambda e: F.struct((-e["n"]).alias("less"), e["first_pos"], e["tag"], e["n"]),
+        )
+    )
+    ranked = F.transform(
+        F.slice(by_count, 1, k),
+        lambda e, i: F.struct(e["tag"], e["n"], (i + 1).cast("bigint").alias("rank")),
+    )
+    return parsed.select("page_id", F.inline(ranked))
 
 
 def class_counts(parsed: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.operators.dom import parse_pages
+from pagelens.operators.features import DEPTH_LIMIT, class_tokens, count_of, long_size, tags
 from pagelens.operators.ranks import quantiles, running_counts
 
 SCORE_DIGITS = 6  # spread statistics are taken on scores rounded to this many places
@@ -90,7 +92,18 @@ def mean_of_pairs(pairs: DataFrame, score: str = "similarity") -> DataFrame:
     )
 
 
-def feature_sample(features: DataFrame, count: int = 3) -> DataFrame:
-    """The first pages with a few of their features (a report line, three by default)."""
-    columns = ["page_id", "unique_tags", "unique_classes", "form_count", "max_depth"]
-    return features.select(columns).orderBy("page_id").limit(count)
+def feature_sample(pages: DataFrame, count: int = 3) -> DataFrame:
+    """The first pages with a few of their features (a report line, three by default).
+
+    The pages are picked before they are parsed.
+    """
+    first = pages.select("page_id", "html").orderBy("page_id").limit(count)
+    parsed = parse_pages(first, fields=("tag", "classes", "depth"))
+    depths = F.slice(F.transform("elements", lambda e: e["depth"]), 1, DEPTH_LIMIT)
+    return parsed.select(
+        "page_id",
+        long_size(F.array_distinct(tags())).alias("unique_tags"),
+        long_size(F.array_distinct(class_tokens())).alias("unique_classes"),
+        count_of(tags(), "form").alias("form_count"),
+        F.coalesce(F.array_max(depths), F.lit(0)).cast("bigint").alias("max_depth"),
+    )

@@ -24,7 +24,7 @@ from pagelens.functions.vectors import unit
 from pagelens.session import written
 
 BLOCK_ROWS = 2_000
-MAX_PIVOTS = 512
+MAX_PIVOTS = 1_024
 DIGITS = 9  # similarities are ranked after rounding, so that ties are the same everywhere
 _SLACK = 1e-6
 
@@ -102,9 +102,9 @@ Visits = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 def _spread(vs: VectorSet, pivots: np.ndarray, visits: Visits) -> DataFrame:
     """(cell, visitor, id, unit, extra): each vector in its home cell and, as a visitor, in the
     cells `visits(distances, home, least distances)` marks."""
-    between = _distances(pivots, pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = _distances(pivots, pivots)  # cheaper to make in each task than to send
         for whole in batches:
             for start in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(start, BLOCK_ROWS)
@@ -297,6 +297,8 @@ def candidate_pairs(vectors: DataFrame, min_similarity: float, keep: Keep | None
     vs = fold_copies(vectors, "candidates")
     reps = distinct_pairs(vs, min_similarity, keep).select("a", "b")
     shared = vs.distinct.where("copies > 1")
+    if shared.isEmpty():
+        return reps
     pairs = reps.unionByName(shared.select(F.col("id").alias("a"), F.col("id").alias("b")))
     left = vs.members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
     right = vs.members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
@@ -364,9 +366,11 @@ def nearest(vectors: DataFrame, k: int = 15) -> DataFrame:
     close, reach = _cell_summaries(vs, pivots, k + 1)
 
     def visits(to_pivot, home, least):
-        through = (to_pivot[:, :, None] + close[None, :, :]).reshape(len(home), -1)
-        kth = np.partition(through, min(k, through.shape[1] - 1), axis=1)
-        limit = kth[:, min(k, through.shape[1] - 1)][:, None]
+        # Rows in small slices: each row has pivots x (k + 1) sums.
+        limits = [
+            _kth_sum(to_pivot[at:at + 64], close, k) for at in range(0, len(home), 64)
+        ]
+        limit = np.concatenate(limits)[:, None]
         inside = (least <= limit + _SLACK) & (to_pivot - reach[None, :] <= limit + _SLACK)
         return inside & np.isfinite(reach)[None, :]
 
@@ -391,6 +395,13 @@ def nearest(vectors: DataFrame, k: int = 15) -> DataFrame:
     return _with_copies(vs, near.drop("nth"), k)
 
 
+def _kth_sum(to_pivot: np.ndarray, close: np.ndarray, k: int) -> np.ndarray:
+    """Distance within which each row surely has k + 1 vectors, going through a pivot."""
+    through = (to_pivot[:, :, None] + close[None, :, :]).reshape(len(to_pivot), -1)
+    kth = min(k, through.shape[1] - 1)
+    return np.partition(through, kth, axis=1)[:, kth]
+
+
 def _cell_summaries(vs: VectorSet, pivots: np.ndarray, depth: int) -> tuple:
     """Per cell: the `depth` least distances to its pivot, and the greatest one.
 
@@ -426,6 +437,9 @@ def _first_members(vs: VectorSet, count: int) -> DataFrame:
 
 def _with_copies(vs: VectorSet, near: DataFrame, k: int) -> DataFrame:
     """From neighbours among distinct vectors to neighbours among all ids."""
+    if vs.distinct.where("copies > 1").isEmpty():
+        by_id = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+        return near.withColumn("rank", F.row_number().over(by_id).cast("bigint"))
     own = vs.distinct.where("copies > 1").select(
         "id", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")
     )

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pagelens.functions.text import description_prompt
 from pagelens.operators import vector_join
 from pagelens.operators.embed import Provider, embed_texts
-from pagelens.operators.incremental import changed_pages, resolve_vectors, upsert_cache
+from pagelens.operators.incremental import changed_pages, resolve_vectors
 from pagelens.operators.project import pca_2d
 from pagelens.session import written
-from pagelens.sources.cache import load_cache, save_cache
+from pagelens.sources.cache import append_cache, load_cache
 from pagelens.sources.folders import page_texts
 
 
@@ -36,7 +36,7 @@ def analyse(
     todo = changed_pages(texts, cache)
     fresh = embed_texts(todo, provider).select("page_id", "embedding")
     made = written(todo.drop("text").join(fresh, "page_id"), "embedded")
-    save_cache(upsert_cache(cache, made), root)
+    append_cache(made, root)
     resolved = written(resolve_vectors(texts, cache, made), "resolved")
     found = resolved.where("embedding is not null")
     vectors = found.select(F.col("page_id").alias("id"), F.col("embedding").alias("vector"))

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from pagelens.operators import structure, summary
 from pagelens.operators.dom import parse_pages
-from pagelens.operators.features import css_fingerprint, depth_statistics, form_structure, tags
 from pagelens.operators.page_types import Rules, page_type, type_distribution
 from pagelens.session import written
 from pagelens.sources.results import write_result
 
-FIELDS = ("tag", "depth", "attrs", "classes", "own_string")
+FIELDS = ("tag", "attrs", "classes", "own_string")
 
 
 @dataclass
@@ -39,7 +38,7 @@ def analyse(
     by_type = summary.type_members(structure.membership(structures, sigs), typed)
     within = summary.within_type_pairs(similar, by_type)
     distribution = type_distribution(typed)
-    sample = summary.feature_sample(page_features(parsed))
+    sample = summary.feature_sample(pages)
     counts = summary.type_document(distribution)
     means = summary.mean_of_pairs(similar, "score_ab")
     line = F.struct(*sample.columns)
@@ -49,14 +48,6 @@ def analyse(
     return StructuralReport(typed, distribution, similar, within, sample, document)
 
 
-def page_features(parsed: DataFrame) -> DataFrame:
-    """What the report's feature sample shows, one row per page."""
-    unique = F.size(F.array_distinct(tags())).cast("bigint")
-    base = parsed.select("page_id", unique.alias("unique_tags"))
-    joined = base.join(css_fingerprint(parsed), "page_id")
-    return joined.join(form_structure(parsed), "page_id").join(depth_statistics(parsed), "page_id")
-
-
 def save(report: StructuralReport, path: str) -> str:
     parts = {"page_types": report.page_types, "similar": report.similar}
     return write_result(path, report.summary, parts)

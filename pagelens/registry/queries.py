@@ -431,8 +431,7 @@ def id_counts(spark, sf):
 
 @query
 def top_tags(spark, sf):
-    counts = features.tag_counts(parsed(spark, sf, ("tag",)))
-    return features.top_k(counts, "tag", features.TOP_TAGS)
+    return features.top_tags(parsed(spark, sf, ("tag",)))
 
 
 @query
@@ -791,12 +790,7 @@ def site_coverage(spark, sf):
 @query
 def feature_sample(spark, sf):
     """The first three pages with a few of their features: a report line."""
-    pages = parsed(spark, sf, ("tag", "attrs", "classes", "depth"))
-    depth = features.depth_statistics(pages).select("page_id", "max_depth")
-    table = features.feature_vector(pages).select(
-        "page_id", "unique_tags", "unique_classes", "form_count"
-    )
-    return summary.feature_sample(table.join(depth, "page_id"))
+    return summary.feature_sample(read_table(spark, sf, "pages"))
 
 
 @query

@@ -69,6 +69,8 @@ def test_vector(spark):
 
 
 def test_top_k_breaks_ties_by_first_seen(spark):
-    counts = features.tag_counts(parsed(spark, "<u></u><b></b><i></i><i></i>"))
-    top = features.top_k(counts, "tag", 2).orderBy("rank").collect()
+    pages = parsed(spark, "<u class='z y'></u><b></b><i class='y'></i><i class='x'></i>")
+    top = features.top_tags(pages, 2).orderBy("rank").collect()
     assert [(r.tag, r.n) for r in top] == [("i", 2), ("u", 1)]
+    classes = features.top_k(features.class_counts(pages), "class", 2).orderBy("rank").collect()
+    assert [(r["class"], r.n) for r in classes] == [("y", 2), ("z", 1)]

@@ -105,6 +105,26 @@ def test_cache_snapshots(spark, tmp_path):
     assert sorted(r.page_id for r in cache.load_cache(spark, root).collect()) == [1, 2]
 
 
+def test_cache_deltas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "MAX_DELTAS", 3)
+    root = str(tmp_path / "cache")
+
+    def rows(*entries):
+        return spark.createDataFrame(list(entries), cache_schema())
+
+    def held():
+        return {r.page_id: (r.content_hash, r.embedding) for r in cache.load_cache(spark, root).collect()}
+
+    cache.append_cache(rows((1, "m", "a", [1.0]), (2, "m", "b", None)), root)
+    assert held() == {1: ("a", [1.0])}
+    cache.append_cache(rows((1, "m", "c", [3.0]), (2, "m", "b", [2.0])), root)
+    assert held() == {1: ("c", [3.0]), 2: ("b", [2.0])}
+    # The third delta folds everything into one snapshot.
+    assert cache.append_cache(rows((3, "m", "d", [4.0])), root) == 4
+    assert held() == {1: ("c", [3.0]), 2: ("b", [2.0]), 3: ("d", [4.0])}
+    assert (tmp_path / "cache/full-4").exists()
+
+
 def test_documents(spark, tmp_path):
     path = tmp_path / "visual.json"
     path.write_text(json.dumps({"files_analyzed": ["a", "b"], "summary": {"total_files": 2}}, indent=2))
