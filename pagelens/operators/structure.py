@@ -42,6 +42,7 @@ PATTERN_WEIGHT = 1.5
 # one last place, which can only raise a similarity, so candidates stay complete.
 TAG_PLACES = 127
 TOKEN_PLACES = 255
+PATTERN_BUCKETS = 64
 
 # Element fields the signature reads.
 SIGNATURE_FIELDS = ("tag", "attrs", "classes")
@@ -278,7 +279,8 @@ def _shapes(base: DataFrame) -> DataFrame:
     """(id, vector, extra): numbered tags as a 0/1 vector, and what the bound reads.
 
     Tags without a place of their own count, all together, as the root of their number in
-    one last place: the product of two roots is at least the smaller number.
+    one last place: the product of two roots is at least the smaller number. Patterns are
+    counted by hash bucket: two sets share at most the sum of the smaller counts.
     """
     tokens = frequent_names(base, F.col("tokens"), TOKEN_PLACES)
     names = frequent_names(base, F.map_keys("tag_map"), TAG_PLACES)
@@ -288,12 +290,18 @@ def _shapes(base: DataFrame) -> DataFrame:
     )
     held = F.aggregate(listed, F.lit(0.0), lambda total, n: total + n)
     others = F.sqrt(F.greatest(F.size("tokens") - held, F.lit(0.0)))
+    hashed = F.transform(
+        "patterns", lambda p: F.pmod(F.xxhash64(p), F.lit(PATTERN_BUCKETS)).cast("int")
+    )
+    buckets = F.transform(
+        F.sequence(F.lit(0), F.lit(PATTERN_BUCKETS - 1)),
+        lambda b: F.size(F.filter(hashed, lambda h: h == b)).cast("double"),
+    )
     extra = F.concat(
         F.array(
-            F.size("seq").cast("double"),
-            (F.size("patterns") > 0).cast("double"),
-            *[F.col(name).cast("double") for name in _NUMBERS],
+            F.size("seq").cast("double"), *[F.col(name).cast("double") for name in _NUMBERS]
         ),
+        buckets,
         count_vector(names, F.col("square")),
     )
     return base.select(
@@ -303,7 +311,8 @@ def _shapes(base: DataFrame) -> DataFrame:
 
 def _can_reach(min_score: float):
     """Test for blocks of shapes: can the score of a pair be `min_score` or more?"""
-    places = 2 + len(_NUMBERS)
+    numbers = 1 + len(_NUMBERS)
+    tags_from = numbers + PATTERN_BUCKETS
 
     def keep(left: np.ndarray, right: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         def apart(c: int) -> np.ndarray:
@@ -313,18 +322,32 @@ def _can_reach(min_score: float):
         sizes = left[:, 0][:, None], right[:, 0][None, :]
         overlap = cosines * np.sqrt(sizes[0] * sizes[1])
         dice = np.minimum(2.0 * overlap / (sizes[0] + sizes[1]), 1.0)
-        tags = [side[:, places:] for side in (left, right)]
+        tags = [side[:, tags_from:] for side in (left, right)]
         lengths = [np.linalg.norm(t, axis=1) for t in tags]
         tag = np.minimum((tags[0] @ tags[1].T) / np.outer(*lengths), 1.0)
-        css = 1.0 - (apart(2) + apart(3)) / 2
-        form = 1.0 - sum(apart(4 + n) for n in range(len(FORM_COUNTS))) / len(FORM_COUNTS)
-        patterned = np.maximum(left[:, 1][:, None], right[:, 1][None, :])
-        total = SEQUENCE_WEIGHT * dice + tag + css + form + PATTERN_WEIGHT * patterned
-        return total / (4.0 + patterned) >= min_score - 1e-9
+        css = 1.0 - (apart(1) + apart(2)) / 2
+        form = 1.0 - sum(apart(3 + n) for n in range(len(FORM_COUNTS))) / len(FORM_COUNTS)
+        total = SEQUENCE_WEIGHT * dice + tag + css + form
+        buckets = [side[:, numbers:tags_from] for side in (left, right)]
+        held = [b.sum(axis=1) for b in buckets]
+        patterned = np.maximum.outer(held[0], held[1]) > 0
+        passed = (total + PATTERN_WEIGHT * patterned) / (4.0 + patterned) >= min_score - 1e-9
+        # Where patterns count, the greatest Jaccard their buckets allow, pair by pair.
+        xs, ys = np.nonzero(passed & patterned)
+        for at in range(0, len(xs), _PAIRS_AT_ONCE):
+            x, y = xs[at:at + _PAIRS_AT_ONCE], ys[at:at + _PAIRS_AT_ONCE]
+            shared = np.minimum(buckets[0][x], buckets[1][y]).sum(axis=1)
+            jaccard = shared / (held[0][x] + held[1][y] - shared)
+            score = (total[x, y] + PATTERN_WEIGHT * jaccard) / 5.0
+            passed[x, y] = score >= min_score - 1e-9
+        return passed
 
     return keep
 
 
+_PAIRS_AT_ONCE = 100_000
+
+
 def _other_terms(a: Column, b: Column) -> dict[str, Column]:
     return {
         "tag_sim": tag_similarity(a, b),

@@ -392,7 +392,7 @@ def nearest(vectors: DataFrame, k: int = 15) -> DataFrame:
     per_block = _compare(placed, pick, schema, ordered=False)
     by_rep = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     near = per_block.withColumn("nth", F.row_number().over(by_rep)).where(F.col("nth") <= k)
-    return _with_copies(vs, near.drop("nth"), k)
+    return _with_copies(vs, near, k)
 
 
 def _kth_sum(to_pivot: np.ndarray, close: np.ndarray, k: int) -> np.ndarray:
@@ -438,8 +438,8 @@ def _first_members(vs: VectorSet, count: int) -> DataFrame:
 def _with_copies(vs: VectorSet, near: DataFrame, k: int) -> DataFrame:
     """From neighbours among distinct vectors to neighbours among all ids."""
     if vs.distinct.where("copies > 1").isEmpty():
-        by_id = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-        return near.withColumn("rank", F.row_number().over(by_id).cast("bigint"))
+        return near.withColumn("rank", F.col("nth").cast("bigint")).drop("nth")
+    near = near.drop("nth")
     own = vs.distinct.where("copies > 1").select(
         "id", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")
     )

@@ -16,6 +16,7 @@ def random_pages(count=40, seed=5):
     for _ in range(count):
         body = "".join(
             rng.choice(["<p></p>", "<p></p>", "<li></li>", "<i class='c1'></i>", "<b id='k1'></b>", "<input>"])
+            + rng.choice(["", "", "", f"<u id='{rng.choice('abcdef')}'></u>"])
             for _ in range(rng.choice([3, 12, 14, 15, 120]))
         )
         made.append(f"<html><body class='{rng.choice(['x', 'y', 'x y'])}'>{body}</body></html>")
@@ -42,8 +43,11 @@ def brute_score(x, y):
     return float(np.mean(terms))
 
 
-@pytest.mark.parametrize(("limit", "block", "places"), [(1.2, 2000, 127), (1.0, 9, 3), (0.91, 20, 40)])
-def test_similar_structures_against_brute_force(spark, monkeypatch, limit, block, places):
+@pytest.mark.parametrize(
+    ("limit", "block", "places", "buckets"), [(1.2, 2000, 127, 64), (1.0, 9, 3, 2), (0.91, 20, 40, 7)]
+)
+def test_similar_structures_against_brute_force(spark, monkeypatch, limit, block, places, buckets):
+    monkeypatch.setattr(structure, "PATTERN_BUCKETS", buckets)
     monkeypatch.setattr(vector_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(structure, "TOKEN_PLACES", places)
     monkeypatch.setattr(structure, "TAG_PLACES", places)
