@@ -55,7 +55,7 @@ clean AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
     '<script([^>]*)>.*?</script>', '<script\1></script>', 'gs'),
     '<style([^>]*)>.*?</style>', '<style\1></style>', 'gs') AS h FROM src),
 texts AS (SELECT page_id, replace(replace(replace(replace(replace(
-    regexp_replace(h, '<[^>]*>', '', 'gs'), '&copy;', chr(169)), '&middot;', chr(183)),
+    regexp_replace(replace(h, '&amp<', '&amp;<'), '<[^>]*>', '', 'gs'), '&copy;', chr(169)), '&middot;', chr(183)),
     '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM clean)"""
 
 
