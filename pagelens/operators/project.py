@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.session import cut_lineage
+from pagelens.session import written
 
 
 REPORT_EVERY = 5
@@ -37,10 +37,11 @@ def start_layout(edges: DataFrame) -> DataFrame:
     """(id, x, y): a start that depends on the id alone, within the unit square."""
     ids = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id")))
 
-    def spread(seed: int):
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    def spread(axis: str):
+        digits = F.substring(F.md5(F.concat(F.lit(axis), F.col("id").cast("string"))), 1, 6)
+        return F.conv(digits, 16, 10).cast("double") / 16.0**6
 
-    return ids.distinct().select("id", spread(1).alias("x"), spread(2).alias("y"))
+    return ids.distinct().select("id", spread("x").alias("x"), spread("y").alias("y"))
 
 
 def metric_layout(pairs: DataFrame, iterations: int = 10) -> tuple[DataFrame, list[float]]:
@@ -55,22 +56,17 @@ def metric_layout(pairs: DataFrame, iterations: int = 10) -> tuple[DataFrame, li
     edges = pairs.where("a <> b").select(
         "a", "b", F.greatest(F.lit(1.0) - F.col("similarity"), F.lit(0.0)).alias("wanted")
     )
-    edges = cut_lineage(edges)
-    layout = cut_lineage(start_layout(edges))
+    edges = written(edges, "edges")
+    layout = written(start_layout(edges), "layout")
     stresses = [stress(edges, layout)]
     for step in range(1, iterations + 1):
-        pulls = _pulls(edges, layout)
-        moved = layout.join(
-            pulls.groupBy("id").agg(
-                F.sum("dx").alias("dx"), F.sum("dy").alias("dy"), F.count("*").alias("n")
-            ),
-            "id",
-        ).select(
-            "id",
-            (F.col("x") + F.col("dx") / (2 * F.col("n"))).alias("x"),
-            (F.col("y") + F.col("dy") / (2 * F.col("n"))).alias("y"),
+        # Every pull carries its point's place, which is the same on all of them.
+        twice = 2 * F.count("*")
+        moved = _pulls(edges, layout).groupBy("id").agg(
+            (F.max("x") + F.sum("dx") / twice).alias("x"),
+            (F.max("y") + F.sum("dy") / twice).alias("y"),
         )
-        layout = cut_lineage(moved)
+        layout = written(moved, "layout")
         if step % REPORT_EVERY == 0 or step == iterations:
             stresses.append(stress(edges, layout))
     return layout, stresses
@@ -91,8 +87,14 @@ def _pulls(edges: DataFrame, layout: DataFrame) -> DataFrame:
     dx = (F.col("xa") - F.col("xb")) * F.col("keep")
     dy = (F.col("ya") - F.col("yb")) * F.col("keep")
     ends = F.array(
-        F.struct(F.col("a").alias("id"), dx.alias("dx"), dy.alias("dy")),
-        F.struct(F.col("b").alias("id"), (-dx).alias("dx"), (-dy).alias("dy")),
+        F.struct(
+            F.col("a").alias("id"), F.col("xa").alias("x"), F.col("ya").alias("y"),
+            dx.alias("dx"), dy.alias("dy"),
+        ),
+        F.struct(
+            F.col("b").alias("id"), F.col("xb").alias("x"), F.col("yb").alias("y"),
+            (-dx).alias("dx"), (-dy).alias("dy"),
+        ),
     )
     return sized.select(F.inline(ends))
 

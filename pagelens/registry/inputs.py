@@ -159,7 +159,7 @@ def document_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     """Current texts, an older cache of them, and a run's new vectors.
 
     The cache holds the labelled documents, those marked toxic under an outdated hash, and
-    nothing for the others; a document in `benchmark` numbering failed to embed.
+    nothing for the others; in the new run, texts of fewer than 200 characters failed.
     """
     documents, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
     model = F.lit("offline").alias("model")

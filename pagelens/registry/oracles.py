@@ -506,6 +506,20 @@ def top_pairs_sql(table: str) -> str:
   WHERE list_dot_product(x.vector, x.vector) > 0 AND list_dot_product(y.vector, y.vector) > 0"""
 
 
+def power_sql(name: str, matrix: str) -> str:
+    """CTE `name(v, size, sign)`: the leading eigenvector of a 28 x 28 matrix, its
+    eigenvalue, and the sign that makes its largest entry positive."""
+    turned = "list_transform(m, lambda r: list_dot_product(r, v))"
+    return f"""{name}_steps AS (
+  SELECT 0 AS n, list_transform(range(28), lambda k: CAST(1 + k / 100 AS DOUBLE)) AS v
+  UNION ALL
+  SELECT n + 1, list_transform({turned}, lambda x: x / sqrt(list_dot_product({turned}, {turned})))
+  FROM {name}_steps, {matrix} WHERE n < 1000),
+{name} AS (SELECT v, list_dot_product(v, {turned}) AS size,
+    CASE WHEN abs(list_max(v)) >= abs(list_min(v)) THEN 1 ELSE -1 END AS sign
+  FROM {name}_steps, {matrix} WHERE n = 1000)"""
+
+
 def mean_sql(table: str) -> str:
     unit = "list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector)))"
     return f"""(SELECT count(*) AS n FROM {table}) c,
@@ -865,6 +879,37 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lens ORDER BY s DESC, a, b)
   FROM scored)
 SELECT lens, rank, a, b, round(s, 6) AS similarity, p.url AS url1, q.url AS url2
 FROM ranked JOIN pages p ON p.page_id = a JOIN pages q ON q.page_id = b WHERE rank <= 10""",
+    "principal_components": f"""WITH RECURSIVE {STRUCTURAL_VECTORS},
+products AS (SELECT x.dim AS i, y.dim AS j, sum(x.value * y.value) AS c
+  FROM scaled x JOIN scaled y USING (id) GROUP BY ALL),
+rows AS (SELECT i, list(c ORDER BY j) AS row FROM products GROUP BY i),
+mat AS (SELECT list(row ORDER BY i) AS m FROM rows),
+{power_sql('first', 'mat')},
+rest AS (SELECT list_transform(range(28), lambda i: list_transform(range(28), lambda j:
+    m[i + 1][j + 1] - size * v[i + 1] * v[j + 1])) AS m FROM mat, first),
+{power_sql('second', 'rest')}
+SELECT id, round(list_dot_product(vector, f.v) * f.sign, 6) AS x,
+  round(list_dot_product(vector, s.v) * s.sign, 6) AS y
+FROM structural, first f, second s""",
+    "metric_layout": f"""WITH RECURSIVE {VISUAL_VECTORS},
+scored AS (SELECT x.id AS a, y.id AS b, round({cosine('x.vector', 'y.vector')}, 9) AS s
+  FROM visual x JOIN visual y ON x.id <> y.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM scored),
+edges AS (SELECT a, b, greatest(1 - s, 0) AS wanted FROM ranked WHERE rank <= 5),
+ends AS (SELECT a AS id, b AS other, wanted FROM edges
+  UNION ALL SELECT b, a, wanted FROM edges),
+layout AS (
+  SELECT 0 AS step, id, CAST('0x' || substr(md5('x' || id), 1, 6) AS UBIGINT) / 16777216 AS x,
+    CAST('0x' || substr(md5('y' || id), 1, 6) AS UBIGINT) / 16777216 AS y
+  FROM (SELECT DISTINCT id FROM ends)
+  UNION ALL
+  SELECT step + 1, id, x + sum((x - ox) * pull) / (2 * count(*)),
+    y + sum((y - oy) * pull) / (2 * count(*))
+  FROM (SELECT l.step, l.id, l.x, l.y, o.x AS ox, o.y AS oy,
+      coalesce(e.wanted / nullif(sqrt((l.x - o.x) ** 2 + (l.y - o.y) ** 2), 0), 0) - 1 AS pull
+    FROM layout l JOIN ends e ON e.id = l.id JOIN layout o ON o.id = e.other WHERE l.step < 10)
+  GROUP BY step, id, x, y)
+SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM layout WHERE step = 10""",
     "nearest_neighbours": f"""WITH {VISUAL_VECTORS},
 scored AS (SELECT x.id, y.id AS neighbour, round({cosine('x.vector', 'y.vector')}, 9) AS s
   FROM visual x JOIN visual y ON x.id <> y.id),

@@ -24,9 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pagelens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/pagelens/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the application's part of the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once its results are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(df: DataFrame) -> int:
