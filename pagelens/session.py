@@ -11,15 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
-
-    Only a local master, where it is unset, gets a temporary folder.
-    """
+    """Folder all executors can reach: spark.checkpoint.dir, or where that is unset a
+    folder of the session's warehouse, which executors share as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        configured = tempfile.mkdtemp(prefix="pagelens-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pagelens-scratch"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
