@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import host_rules, pii
-from pagelens.llm.common import table
+from pagelens.llm import archives, golay, host_rules, mixing, nbsvm, oph, packing, pii, toxicity
+from pagelens.llm.common import is_training_row, table
 from pagelens.session import ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,83 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", *[f"measured.{m}" for m in host_rules.MEASURES], "base_failed", "kept"
     )
+
+
+@query
+def op2_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query
+def op3_golay_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = golay.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        "n_links",
+    )
+
+
+@query
+def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.train(docs, table(spark, sf_dir, "labels"), "quality")
+    return nbsvm.scored(docs, model).select(
+        "doc_id",
+        (~is_training_row()).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op6_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    )
+    signed = oph.add_signature(docs, "text", "own")
+    paired = oph.with_next(signed, "doc_id", ["text", "own"], "text")
+    n = F.length("text")
+    paired = paired.withColumn("n_chars", n.cast("long")).withColumn(
+        "edited",
+        F.concat(
+            F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")),
+            F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int")),
+        ),
+    )
+    compared = oph.add_signature(paired, "edited", "changed")
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        oph.packed(F.col("own")).alias("fingerprint"),
+        oph.packed(F.col("changed")).alias("edited_fingerprint"),
+        oph.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        oph.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    )
+
+
+@query
+def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        (~is_training_row()).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_terms",
+    )
