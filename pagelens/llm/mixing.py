@@ -6,7 +6,7 @@ cube method settles: in the flight phase the vector of probabilities moves throu
 space of the constraints (number of documents, number of words), until all but a few are 0
 or 1; every move keeps the expected totals of both exactly. The few that are left are flown
 again together with those of other blocks, until one small landing problem per source
-remains, which takes the rounding nearest to the totals.
+remains (at most LANDING + KEEP documents), which takes the rounding nearest to the totals.
 
 A block holds a bounded number of documents, chosen by a hash of the document, so a source
 of any size is spread over tasks. Random choices are drawn from the block's name: reruns
@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import random
 import zlib
-from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ SHARE = 1.5  # of all words the mix takes
 MOST_TIMES = 2  # a document is taken
 BLOCK = 512
 KEEP = 2  # constraints: documents and words
+LANDING = 12  # open units that are landed without a flight, besides the KEEP it leaves
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -114,15 +115,14 @@ def flight(units: list[tuple[float, float]], draw: random.Random) -> list[float]
 
 
 def landing(units: list[tuple[float, float]]) -> list[float]:
-    """The rounding of at most KEEP units that comes nearest to their expected words, then
-    to their expected number."""
-    want, count = sum(p * s for p, s in units), sum(p for p, _ in units)
-
-    def miss(choice: tuple[int, ...]) -> tuple[float, float]:
-        words = sum(c * s for c, (_, s) in zip(choice, units, strict=True))
-        return abs(words - want), abs(sum(choice) - count)
-
-    return [float(c) for c in min(product((0, 1), repeat=len(units)), key=miss)]
+    """The rounding of a few units that comes nearest to their expected words, then to
+    their expected number. All 2**len(units) roundings are compared."""
+    if not units:
+        return []
+    p, size = np.array(units).T
+    choices = np.arange(1 << len(units))[:, None] >> np.arange(len(units)) & 1
+    misses = np.abs(choices @ size - p @ size), np.abs(choices.sum(1) - p.sum())
+    return choices[np.lexsort((misses[1], np.round(misses[0], 6)))[0]].astype(float).tolist()
 
 
 def _seed(*names: object) -> random.Random:
@@ -130,11 +130,18 @@ def _seed(*names: object) -> random.Random:
 
 
 def _fly(key: tuple, frame: pd.DataFrame, last: bool) -> pd.DataFrame:
-    frame = frame.sort_values(["doc_id", "copy"], kind="stable")
+    """Fly a block; large documents go first. In the last block of a stratum open units of
+    all sizes stay on the ground, so that the landing can come close."""
+    frame = frame.sort_values(["size", "doc_id", "copy"], ascending=[False, True, True], kind="stable")
     units = list(zip(frame["p"].tolist(), frame["size"].astype(float).tolist(), strict=True))
-    result = flight(units, _seed(*key))
+    open_ = [i for i, (p, _) in enumerate(units) if EDGE < p < 1 - EDGE]
+    ground = {open_[len(open_) * k // LANDING] for k in range(LANDING)} if last and open_ else set()
+    flown = [i for i in range(len(units)) if i not in ground]
+    result = [p for p, _ in units]
+    for i, p in zip(flown, flight([units[i] for i in flown], _seed(*key)), strict=True):
+        result[i] = p
     if last:
-        open_ = [i for i, p in enumerate(result) if 0 < p < 1]
+        open_ = [i for i, p in enumerate(result) if EDGE < p < 1 - EDGE]
         for i, p in zip(open_, landing([(result[i], units[i][1]) for i in open_]), strict=True):
             result[i] = p
     return frame.assign(p=result)

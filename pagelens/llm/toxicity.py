@@ -33,7 +33,7 @@ LEXICON = 4_000
 EXCEPTIONS = 4_000
 MIN_DOCS = 4  # toxic texts a term must occur in
 MIN_SHARE = 0.005  # of the toxic texts likewise
-PRIOR = 5.0  # harmless texts every term is taken to occur in besides
+PRIOR = 1.0  # harmless texts every term is taken to occur in besides
 MIN_ODDS = 2.5  # smoothed log odds a term must have
 PREFIXES = range(4, 8)  # lengths of beginnings of words
 FLUSH = 200_000  # counts a task holds at most before it passes them on
