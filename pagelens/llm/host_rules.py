@@ -170,7 +170,10 @@ def host_table(measured: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judge(measured: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
-    """Add `base_failed` and `kept` to measured rows."""
+    """Add `base_failed` and `kept` to measured rows.
+
+    `kept` refers to the row number, which is always positive: a filter on it then stays
+    where it is, and is not pushed down with all measures written out within it."""
     failing = small_side(
         hosts.filter("host_failed").select(F.col("host").alias("__host")), "failing-hosts"
     )
@@ -181,7 +184,10 @@ def judge(measured: DataFrame, hosts: DataFrame, host: str = "source") -> DataFr
     failed = base_failed(m)
     bad = F.coalesce(F.col("__bad"), F.lit(False))
     return joined.withColumns(
-        {"base_failed": failed, "kept": ~failed & ~(bad & any_failed(m))}
+        {
+            "base_failed": failed,
+            "kept": ~failed & ~(bad & any_failed(m)) & (F.monotonically_increasing_id() >= 0),
+        }
     ).drop("__host", "__bad")
 
 

@@ -352,3 +352,18 @@ def redacted(text: Column, spans: Column) -> Column:
         step,
         lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))),
     )
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of `docs` with every span replaced by its kind; n_chars, where it is a column,
+    follows the new text. Texts without spans, null ones too, stay as they are."""
+    renamed = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])
+    body = f"in_{text}"
+    decided = decide(find(renamed, body), fit(find(renamed.select(body), body)))
+    touched = F.size("spans") > 0
+    fresh = F.when(touched, redacted(F.coalesce(F.col(body), F.lit("")), F.col("spans")))
+    columns = decided.withColumn("__new", fresh.otherwise(F.col(body)))
+    out = {c: F.col(f"in_{c}") for c in docs.columns} | {text: F.col("__new")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(touched, F.length("__new").cast("long")).otherwise(F.col("in_n_chars"))
+    return columns.select(*[column.alias(c) for c, column in out.items()])

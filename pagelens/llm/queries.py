@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import archives, golay, host_rules, mixing, nbsvm, oph, packing, pii, toxicity
+from pagelens.llm import archives, golay, host_rules, mixing, nbsvm, oph, packing, paragraphs, pii, toxicity
 from pagelens.llm.common import is_training_row, table
 from pagelens.session import ship_package, written
 
@@ -115,6 +115,11 @@ def op7_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
