@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelens.functions.text import strip
+
 # The substrings and patterns that mark a URL as an API call.
 API_URL_PATTERNS = [
     r"/api/",
@@ -74,9 +76,11 @@ def script_score(body: Column) -> Column:
 
 
 def cookie_items(cookies: Column) -> Column:
-    """`a=1; b=2` as an array of (name, value), in order, items without `=` left out."""
-    items = F.filter(F.split(cookies, ";", -1), lambda item: F.contains(item, F.lit("=")))
-    trimmed = F.transform(items, lambda item: F.trim(item))
+    """`a=1; b=2` as an array of (name, value), in order, items without `=` left out; empty
+    for a null string. White space of any kind around an item is cut off."""
+    given = F.coalesce(cookies, F.lit(""))
+    items = F.filter(F.split(given, ";", -1), lambda item: F.contains(item, F.lit("=")))
+    trimmed = F.transform(items, strip)
     return F.transform(
         trimmed,
         lambda item: F.struct(

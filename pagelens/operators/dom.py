@@ -39,13 +39,15 @@ def parse_pages(
     markup: str = "html",
     keep: tuple[str, ...] = ("page_id",),
     max_elements: int | None = None,
+    refused_text: bool = False,
 ) -> DataFrame:
     """`keep` columns + `elements`, `page_text`, `rejected` for each page.
 
     `fields` names the element fields the consumer reads; the others are not built.
     `max_elements` bounds the elements handed back, for consumers of the first N only.
     `markup` may be a string or a binary column; bad UTF-8 bytes are dropped.
-    `rejected` marks markup the reader refused: no elements, no text.
+    `rejected` marks markup the reader refused: no elements and no text, or with
+    `refused_text` the markup itself as its text.
     """
     unknown = set(fields) - set(ELEMENT_FIELDS)
     if unknown:
@@ -65,7 +67,7 @@ def parse_pages(
         for batch in batches:
             marks = batch.column(len(keep))
             start = 0
-            builder = _PageBuilder(fields, max_elements)
+            builder = _PageBuilder(fields, max_elements, refused_text)
             for i in range(batch.num_rows):
                 builder.add(_as_text(marks[i].as_py()))
                 if builder.is_full() or i == batch.num_rows - 1:
@@ -76,7 +78,7 @@ def parse_pages(
                         names=[*keep, "elements", "page_text", "rejected"],
                     )
                     start = i + 1
-                    builder = _PageBuilder(fields, max_elements)
+                    builder = _PageBuilder(fields, max_elements, refused_text)
 
     return source.mapInArrow(parse, schema)
 
@@ -96,8 +98,11 @@ def _as_text(value: str | bytes | None) -> str:
 class _PageBuilder:
     """Gathers parsed pages column by column and turns them into Arrow arrays."""
 
-    def __init__(self, fields: tuple[str, ...], max_elements: int | None) -> None:
+    def __init__(
+        self, fields: tuple[str, ...], max_elements: int | None, refused_text: bool = False
+    ) -> None:
         self.fields = fields
+        self.refused_text = refused_text
         self.max_elements = max_elements
         self.offsets = [0]
         self.texts: list[str] = []
@@ -114,7 +119,7 @@ class _PageBuilder:
         try:
             reader.read(markup)
         except AssertionError:  # malformed declaration, e.g. "<![foo"
-            self.texts.append("")
+            self.texts.append(markup if self.refused_text else "")
             self.rejected.append(True)
             self.offsets.append(self.offsets[-1])
             return

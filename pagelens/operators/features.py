@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelens.functions.barrier import settled
 from pagelens.functions.text import word_count
 
 # How many leading elements each feature looks at.
@@ -234,29 +235,40 @@ def counter(keyed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def tag_tally() -> Column:
-    """(tag, n, first_pos) of each tag of a page, in order of first appearance. A page has
-    few distinct tags, so counting inside its row is cheaper than a group."""
-    names = tags()
-    return F.transform(
-        F.array_distinct(names),
-        lambda name: F.struct(
-            name.alias("tag"),
-            long_size(F.filter(names, lambda t: t == name)).alias("n"),
-            (F.array_position(names, name) - 1).alias("first_pos"),
+def tag_tallies(parsed: DataFrame) -> DataFrame:
+    """(page_id, tally): (tag, n, first_pos) of each tag of a page, in order of first
+    appearance, counted inside the row. Tags are sorted with their places once; a tag's
+    run in that order gives its first place and its count."""
+    placed = F.transform(tags(), lambda tag, i: F.struct(tag.alias("tag"), i.cast("bigint").alias("first_pos")))
+    step = parsed.select("page_id", F.sort_array(placed).alias("sorted"))
+    starts = F.filter(
+        F.transform(
+            "sorted", lambda e, i: F.struct(e["tag"], e["first_pos"], i.cast("bigint").alias("at"))
+        ),
+        lambda e, i: (i == 0) | (F.get("sorted", i - 1)["tag"] != e["tag"]),
+    )
+    step = step.select("page_id", F.size("sorted").cast("bigint").alias("size"), starts.alias("starts"))
+    counted = F.transform(
+        "starts",
+        lambda e, i: F.struct(
+            e["first_pos"],
+            e["tag"],
+            (F.coalesce(F.get("starts", i + 1)["at"], F.col("size")) - e["at"]).alias("n"),
         ),
     )
+    return step.select("page_id", settled(F.sort_array(counted)).alias("tally"))
 
 
 def tag_counts(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", F.inline(tag_tally()))
+    each = F.transform("tally", lambda e: F.struct(e["tag"], e["n"], e["first_pos"]))
+    return tag_tallies(parsed).select("page_id", F.inline(each))
 
 
 def top_tags(parsed: DataFrame, k: int = TOP_TAGS) -> DataFrame:
     """The k most frequent tags of each page, ties by first appearance; no shuffle."""
     by_count = F.array_sort(
         F.transform(
-            tag_tally(),
+            "tally",
             lambda e: F.struct((-e["n"]).alias("less"), e["first_pos"], e["tag"], e["n"]),
         )
     )
@@ -264,7 +276,7 @@ def top_tags(parsed: DataFrame, k: int = TOP_TAGS) -> DataFrame:
         F.slice(by_count, 1, k),
         lambda e, i: F.struct(e["tag"], e["n"], (i + 1).cast("bigint").alias("rank")),
     )
-    return parsed.select("page_id", F.inline(ranked))
+    return tag_tallies(parsed).select("page_id", F.inline(ranked))
 
 
 def class_counts(parsed: DataFrame) -> DataFrame:

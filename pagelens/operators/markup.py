@@ -38,6 +38,23 @@ _HEADINGS = frozenset(["h1", "h2"])
 _ASCII_SPACE = " \n\t\f\r"
 
 
+class _Stripped:
+    """The stripped texts of one kind run together, with where each begins, so that the
+    text of any element is a slice."""
+
+    def __init__(self, texts: list[tuple[str, str]], kind: str) -> None:
+        parts, self.begins, at = [], [0], 0
+        for text, apart in texts:
+            if apart == kind:
+                parts.append(text.strip())
+                at += len(parts[-1])
+            self.begins.append(at)
+        self.text = "".join(parts)
+
+    def between(self, first: int, last: int) -> str:
+        return self.text[self.begins[first]:self.begins[last]]
+
+
 class PageReader(HTMLParser):
     """One page's elements in document order, with no implied end tags.
 
@@ -54,7 +71,8 @@ class PageReader(HTMLParser):
         self.apart: list[str] = []  # open elements whose text is kept apart
         self.preformatted = 0
         self.pending: list[str] = []
-        self.spare_ends: list[str] = []
+        self.stripped: dict[str, _Stripped] = {}
+        self.spare_ends: dict[str, int] = {}  # end tags to come that are already done, by name
 
     def read(self, markup: str) -> PageReader:
         self.feed(markup)
@@ -73,15 +91,15 @@ class PageReader(HTMLParser):
         self._start(tag, attrs)
         if tag in VOID_TAGS:
             self._end(tag)
-            self.spare_ends.append(tag)
+            self.spare_ends[tag] = self.spare_ends.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self._start(tag, attrs)
         self._end(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.spare_ends:
-            self.spare_ends.remove(tag)
+        if self.spare_ends.get(tag):
+            self.spare_ends[tag] -= 1
         else:
             self._end(tag)
 
@@ -206,5 +224,6 @@ class PageReader(HTMLParser):
         if tag not in INTERACTIVE_TAGS and _MAY_INTERACT.isdisjoint(element["attrs"]):
             return None
         own = tag if tag in APART_TAGS else ""
-        inside = self.texts[element["first_text"]:element["last_text"]]
-        return "".join(text.strip() for text, apart in inside if apart == own)
+        if own not in self.stripped:
+            self.stripped[own] = _Stripped(self.texts, own)
+        return self.stripped[own].between(element["first_text"], element["last_text"])

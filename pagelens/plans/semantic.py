@@ -20,7 +20,7 @@ from pagelens.sources.folders import page_texts
 @dataclass
 class SemanticReport:
     vectors: DataFrame
-    missing: DataFrame
+    missing: DataFrame  # page_id, model, error
     neighbours: DataFrame
     layout: DataFrame
 
@@ -34,13 +34,14 @@ def analyse(
     key_type = pages.schema["page_id"].dataType.simpleString()
     cache = load_cache(pages.sparkSession, root, key_type)
     todo = changed_pages(texts, cache)
-    fresh = embed_texts(todo, provider).select("page_id", "embedding")
-    made = written(todo.drop("text").join(fresh, "page_id"), "embedded")
+    made = written(embed_texts(todo, provider, keep=("model", "content_hash")), "embedded")
     append_cache(made, root)
     resolved = written(resolve_vectors(texts, cache, made), "resolved")
     found = resolved.where("embedding is not null")
     vectors = found.select(F.col("page_id").alias("id"), F.col("embedding").alias("vector"))
-    missing = resolved.where("origin = 'missing'").select("page_id", "model")
+    absent = resolved.where("origin = 'missing'").select("page_id", "model")
+    errors = made.where("error is not null").select("page_id", "model", "error")
+    missing = absent.join(errors, ["page_id", "model"], "left")
     return SemanticReport(vectors, missing, vector_join.nearest(vectors, k), pca_2d(vectors))
 
 

@@ -70,12 +70,7 @@ HAS_FINAL = "html NOT LIKE '%</html>%'"
 def dressed_pages(spark: SparkSession, sf: str) -> DataFrame:
     documents, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
     joined = documents.join(labels, "doc_id", "left")
-    pages = joined.select(F.col("doc_id").alias("page_id"), F.expr(DRESSED_HTML).alias("html"))
-    cores = spark.sparkContext.defaultParallelism
-    # One file: its few splits are spread over the cores before parsing (see read_pages).
-    if documents.rdd.getNumPartitions() < cores:
-        return pages.repartition(cores, "page_id")
-    return pages
+    return joined.select(F.col("doc_id").alias("page_id"), F.expr(DRESSED_HTML).alias("html"))
 
 
 def dressed(spark: SparkSession, sf: str, fields: tuple[str, ...] = ALL_FIELDS) -> DataFrame:

@@ -583,7 +583,7 @@ SELECT page_id, first(path ORDER BY name <> 'page.html', path) AS path
 FROM files WHERE ext = 'html' GROUP BY page_id""",
     "primary_screenshot": f"""WITH {LISTING}
 SELECT page_id, min(path) AS path FROM files WHERE ext = 'png' GROUP BY page_id""",
-    "embedding_cache": f"WITH {STATE} SELECT page_id, model, content_hash, v1 AS first FROM merged",
+    "embedding_cache": f"WITH {STATE} SELECT page_id, model, content_hash, v1 AS first, v2 AS second FROM merged",
     "result_documents": f"""WITH {page_types_sql(DRESSED)}
 SELECT page_type, count(*) AS pages, count(*) AS listed, false AS has_visual,
   (SELECT count(*) FROM typed) AS total_files
@@ -660,7 +660,7 @@ SELECT id, unnest(range(len(vector))) AS dim, round(unnest(list_transform(vector
 SELECT id, unnest(range(2 * len(vector))) AS dim,
   round(unnest(list_concat(vector, list_reverse(vector))), 6) AS value FROM visual""",
     "averaged_vectors": f"""WITH {VISUAL_VECTORS}
-SELECT id, unnest(range(28)) AS dim, round(unnest(list_transform(range(28),
+SELECT id, unnest(range(64)) AS dim, round(unnest(list_transform(range(64),
   lambda i: vector[i + 1] * 0.6 + vector[64 - i] * 0.4)), 6) AS value FROM visual""",
     "page_elements": f"""WITH RECURSIVE {tree(GIVEN)}
 SELECT page_id, pos, tag, depth, parent_pos, {HREF} AS href,
@@ -743,10 +743,10 @@ SELECT feature, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v
     "combined_vectors": f"""WITH {STRUCTURAL_VECTORS},{VISUAL_VECTORS},{COMBINED_VECTORS}
 SELECT id, dim, round(value, 6) AS value FROM combined_long""",
     "vectors_with_signals": f"""WITH {feature_sql(GIVEN)},
-more AS (SELECT f.page_id, coalesce(v.visits, 0) AS visits FROM feats f LEFT JOIN
+more AS (SELECT f.*, coalesce(v.visits, 0) AS visits FROM feats f LEFT JOIN
   (SELECT user_id, count(*) AS visits FROM events GROUP BY user_id) v ON v.user_id = f.page_id),
-{scaled_sql(['visits'], 'more')}
-SELECT id, {big(len(VECTOR_FEATURES))} AS dim, round(value, 6) AS value FROM scaled""",
+{scaled_sql([*VECTOR_FEATURES, 'visits'], 'more')}
+SELECT id, dim, round(value, 6) AS value FROM scaled""",
     "changed_pages": f"""WITH {STATE}
 SELECT page_id, model, content_hash FROM cur c WHERE NOT EXISTS (SELECT 1 FROM cache k
   WHERE k.page_id = c.page_id AND k.model = c.model AND k.content_hash = c.content_hash)""",
@@ -754,7 +754,7 @@ SELECT page_id, model, content_hash FROM cur c WHERE NOT EXISTS (SELECT 1 FROM c
 SELECT page_id, model, content_hash, v1 AS first, v2 AS second FROM merged""",
     "resolved_vectors": f"""WITH {STATE}
 SELECT c.page_id, CASE WHEN f.page_id IS NOT NULL THEN 'new' WHEN k.page_id IS NOT NULL THEN 'cached'
-  ELSE 'missing' END AS origin, coalesce(f.v1, k.v1) AS first
+  ELSE 'missing' END AS origin, coalesce(f.v1, k.v1) AS first, coalesce(f.v2, k.v2) AS second
 FROM cur c LEFT JOIN fresh f ON f.page_id = c.page_id LEFT JOIN cache k ON k.page_id = c.page_id""",
     "embedding_cost": f"""WITH {STATE}
 SELECT count(*) AS texts, round(count(*) * 25 / 60, 6) AS minutes FROM cur c
@@ -782,6 +782,15 @@ SELECT c.a, c.b, {SCORES} FROM cand c {BOTH_RATIOS}""",
     "text_embeddings": f"""WITH src AS (SELECT doc_id AS id, text FROM documents),
 {hashed_words_sql('src', 32)}
 SELECT id, dim, round(value, 6) AS value FROM hashed""",
+    "tfidf_embeddings": f"""WITH src AS (SELECT doc_id AS id, text FROM documents),
+{hashed_words_sql('src', 32)},
+weight AS (SELECT dim, ln((SELECT count(*) + 1 FROM src) / (count(n) + 1)) AS w
+  FROM grid LEFT JOIN filled USING (id, dim) GROUP BY dim),
+weighed AS (SELECT id, dim, coalesce(n, 0) * w AS x
+  FROM grid JOIN weight USING (dim) LEFT JOIN filled USING (id, dim)),
+length AS (SELECT id, sqrt(sum(x * x)) AS len FROM weighed GROUP BY id)
+SELECT id, dim, round(CASE WHEN len > 0 THEN x / len ELSE 0 END, 6) AS value
+FROM weighed JOIN length USING (id)""",
     "described_embeddings": f"""WITH prompts AS (SELECT page_id AS id,
   '{PROMPT_HEAD}' || substr(html, 1, {PROMPT_CHARS}) || '{PROMPT_TAIL}' AS p FROM pages),
 src AS (SELECT id, length(p) || ' characters, '
@@ -929,7 +938,9 @@ SELECT name, arg_max(value, ts) AS value, max(ts) AS ts FROM timed GROUP BY name
     "streamed_last_values": """SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type,
   arg_max(value, ts) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id""",
     "streamed_seen_urls": f"SELECT DISTINCT {HOST} AS host FROM pages",
-    "streamed_page_intake": f"""WITH {source(GIVEN)}
-SELECT page_id, 'offline' AS model, md5(text) AS content_hash, {big(16)} AS dimension
-FROM (SELECT page_id, {clean_text('t')} AS text FROM texts) WHERE text <> ''""",
+    "streamed_page_intake": f"""WITH {source(GIVEN)},
+shown AS (SELECT * FROM (SELECT page_id AS id, {clean_text('t')} AS text FROM texts) WHERE text <> ''),
+{hashed_words_sql('shown', 16)}
+SELECT id AS page_id, 'offline' AS model, md5(text) AS content_hash, dim, round(value, 6) AS value
+FROM shown JOIN hashed USING (id)""",
 }

@@ -71,6 +71,11 @@ def long_vectors(vectors: DataFrame, digits: int = 6) -> DataFrame:
     return each.select("id", F.col("dim").cast("bigint").alias("dim"), F.round("x", digits).alias("value"))
 
 
+def both_values() -> list:
+    """The values of the two-dimensional vectors the document state has."""
+    return [F.col("embedding")[0].alias("first"), F.col("embedding")[1].alias("second")]
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     for name in names:
         df = df.withColumn(name, F.round(name, digits))
@@ -120,7 +125,7 @@ def embedding_cache(spark, sf):
     held = cache_source.load_cache(spark, root)
     cache_source.save_cache(incremental.upsert_cache(held, new), root)
     loaded = cache_source.load_cache(spark, root)
-    return loaded.select("page_id", "model", "content_hash", F.col("embedding")[0].alias("first"))
+    return loaded.select("page_id", "model", "content_hash", *both_values())
 
 
 @query
@@ -304,8 +309,10 @@ def concatenated_vectors(spark, sf):
 
 @query
 def averaged_vectors(spark, sf):
+    """Vectors of different lengths: the longer is cut to the length of the shorter."""
     vectors = inputs.vectors(spark, sf)
-    mean = vectors_fn.weighted_average(F.slice("vector", 1, 28), F.reverse("vector"), 0.6)
+    longer = F.concat(F.reverse("vector"), F.array(F.lit(1.0), F.lit(2.0)))
+    mean = vectors_fn.weighted_average(F.col("vector"), longer, 0.6)
     return long_vectors(vectors.select("id", mean.alias("vector")))
 
 
@@ -515,8 +522,7 @@ def vectors_with_signals(spark, sf):
     table = site_report.structural_features(read_pages(spark, sf))
     events = read_table(spark, sf, "events")
     signals = events.groupBy(F.col("user_id").alias("page_id")).agg(F.count("*").alias("visits"))
-    lens = site_report.lens_vectors(table, signals=signals)["structural"]
-    return long_vectors(lens).where(f"dim = {len(features.VECTOR_FEATURES)}")
+    return long_vectors(site_report.lens_vectors(table, signals=signals)["structural"])
 
 
 @query
@@ -567,7 +573,7 @@ def cache_upsert(spark, sf):
 def resolved_vectors(spark, sf):
     current, cache, new = inputs.document_state(spark, sf)
     found = incremental.resolve_vectors(current, cache, new)
-    return found.select("page_id", "origin", F.col("embedding")[0].alias("first"))
+    return found.select("page_id", "origin", *both_values())
 
 
 @query
@@ -886,10 +892,21 @@ def streamed_seen_urls(spark, sf):
 
 @query
 def streamed_page_intake(spark, sf):
-    """Pages taken in as a stream: texts embedded and cached under page, model and hash."""
-    pages = table_stream(spark, sf, "pages").select("page_id", "html")
-    root = scratch_path(spark, "intake")
-    intake.start_intake(pages, root, embed.hashed_words(16)).awaitTermination()
+    """Pages taken in as a stream of files, one per batch: texts embedded and cached under
+    page, model and hash. A file of outdated versions of some pages comes first."""
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    folder, root = scratch_path(spark, "intake-pages"), scratch_path(spark, "intake")
+    outdated = pages.where("page_id % 3 = 0").withColumn("html", F.concat(F.lit("old "), "html"))
+    outdated.coalesce(1).write.mode("append").parquet(folder)
+    for part in range(2):
+        own = pages.where(F.pmod("page_id", F.lit(2)) == part)
+        own.coalesce(1).write.mode("append").parquet(folder)
+    stream = intake.page_stream(spark, folder, pages.schema, files_per_trigger=1)
+    intake.start_intake(stream, root, embed.hashed_words(16)).awaitTermination()
     cached = cache_source.load_cache(spark, root)
-    size = F.size("embedding").cast("bigint").alias("dimension")
-    return cached.select("page_id", "model", "content_hash", size)
+    return cached.select(
+        "page_id", "model", "content_hash", F.posexplode("embedding").alias("dim", "value")
+    ).select(
+        "page_id", "model", "content_hash",
+        F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"),
+    )

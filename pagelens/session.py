@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,14 +41,6 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, kept through the loss of executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Written to Parquet in the shared folder and read back, so that readers of it
     get column and nested-field pruning as well as a short lineage."""
@@ -56,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, most_rows: int = 100_000) -> DataFrame:
+    """`df` written once; marked for broadcast only if it is found to have few rows."""
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per application."""
     context = spark.sparkContext

@@ -10,11 +10,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages to parse. A scan with fewer splits than cores is spread over the cores:
-    parsing is the costly step, and only a small table has so few splits, so a large
-    one is never shuffled here."""
-    pages = read_table(spark, folder, "pages")
-    cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:
-        return pages.repartition(cores, "page_id")
-    return pages
+    """Pages to parse, in the splits of the scan: markup is never shuffled before the
+    parse. How finely a small file is split is a setting of the session
+    (spark.sql.files.maxPartitionBytes, row groups), not of this code."""
+    return read_table(spark, folder, "pages")

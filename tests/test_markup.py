@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from helpers import by_page, pages, parsed
@@ -89,3 +91,11 @@ def test_many_pages_keep_their_rows(spark):
     )
     wrong = parse_pages(many).where("elements[0].attrs['id'] <> cast(page_id as string)")
     assert wrong.count() == 0
+
+
+def test_many_void_tags_and_nested_links_take_linear_time():
+    start = time.perf_counter()
+    PageReader().read("<p>a<br></p>" * 40_000)
+    reader = PageReader().read("<a>some text " * 4_000)
+    assert len(reader.element_text(reader.elements[0])) == len("some text") * 4_000
+    assert time.perf_counter() - start < 5

@@ -1,7 +1,5 @@
 import os
 
-import pytest
-
 from pagelens import session
 
 
@@ -17,16 +15,20 @@ def test_written_tables_and_scratch(spark):
     assert not os.path.exists(local)
 
 
-def test_shared_dir_must_be_named_on_a_cluster():
-    class Conf:
-        def get(self, *_):
-            return None
+def test_shared_dir_is_the_named_folder_or_in_the_warehouse():
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.sql.warehouse.dir": "hdfs://x/warehouse/"})
 
-    class Cluster:
-        conf = Conf()
+    assert session.shared_dir(Session()) == "hdfs://x/warehouse/pagelens-scratch"
+    Session.conf = Conf({"spark.checkpoint.dir": "hdfs://x/shared"})
+    assert session.shared_dir(Session()) == "hdfs://x/shared"
 
-        class sparkContext:  # noqa: N801
-            master = "yarn"
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.shared_dir(Cluster())
+def test_small_sides_are_checked(spark):
+    assert session.small_side(spark.range(5), "few").count() == 5
+    plan = spark.range(9).join(session.small_side(spark.range(5), "many", 3), "id")
+    assert "ResolvedHint" not in plan._jdf.queryExecution().analyzed().toString()

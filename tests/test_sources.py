@@ -105,8 +105,7 @@ def test_cache_snapshots(spark, tmp_path):
     assert sorted(r.page_id for r in cache.load_cache(spark, root).collect()) == [1, 2]
 
 
-def test_cache_deltas(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(cache, "MAX_DELTAS", 3)
+def test_cache_deltas(spark, tmp_path):
     root = str(tmp_path / "cache")
 
     def rows(*entries):
@@ -119,10 +118,25 @@ def test_cache_deltas(spark, tmp_path, monkeypatch):
     assert held() == {1: ("a", [1.0])}
     cache.append_cache(rows((1, "m", "c", [3.0]), (2, "m", "b", [2.0])), root)
     assert held() == {1: ("c", [3.0]), 2: ("b", [2.0])}
-    # The third delta folds everything into one snapshot.
-    assert cache.append_cache(rows((3, "m", "d", [4.0])), root) == 4
+    assert cache.append_cache(rows((3, "m", "d", [4.0])), root) == 3
+    assert cache.append_cache(rows(), root) == 3
     assert held() == {1: ("c", [3.0]), 2: ("b", [2.0]), 3: ("d", [4.0])}
-    assert (tmp_path / "cache/full-4").exists()
+    assert [tuple(r)[:3] for r in cache.load_errors(spark, root).collect()] == [(2, "m", "b")]
+    assert cache.compact_cache(spark, root) == 4
+    assert held() == {1: ("c", [3.0]), 2: ("b", [2.0]), 3: ("d", [4.0])}
+    assert cache.load_errors(spark, root).count() == 0
+    names = {p.name for p in (tmp_path / "cache").iterdir()}
+    assert {n for n in names if n.startswith("pointer")} == {"pointer-0", "pointer-1"}
+
+
+def test_a_cut_short_pointer_leaves_the_state_before(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    for n in (1, 2):
+        cache.append_cache(spark.createDataFrame([(n, "m", "h", [1.0])], cache_schema()), root)
+    for part in (tmp_path / "cache/pointer-0").glob("part-*"):
+        part.unlink()
+    assert cache.current_version(spark, root) == 1
+    assert [r.page_id for r in cache.load_cache(spark, root).collect()] == [1]
 
 
 def test_documents(spark, tmp_path):
@@ -235,6 +249,29 @@ def test_failed_page_is_tried_again(spark, tmp_path):
     assert found == {1: [1.0], 2: [2.0]}
 
 
+def test_the_last_version_of_a_page_counts(spark, tmp_path):
+    """In either order, so that one of them has the smaller hash last."""
+    for n, texts in enumerate((("first", "second"), ("second", "first"))):
+        root = str(tmp_path / f"cache{n}")
+        batch = spark.createDataFrame(
+            [(1, f"<p>{texts[0]}</p>", 10), (1, f"<p>{texts[1]}</p>", 20)], "page_id bigint, html string, version int"
+        )
+        intake.embed_batch(batch, root, embed.hashed_words(4), "m")
+        (row,) = cache.load_cache(spark, root).collect()
+        assert row.content_hash == hashlib.md5(texts[1].encode()).hexdigest()
+
+
+def test_errors_are_kept(spark, tmp_path):
+    root = str(tmp_path / "cache")
+
+    def refuse(texts):
+        raise RuntimeError("rate limit")
+
+    intake.embed_batch(pages(spark, "<p>a</p>"), root, refuse, "m")
+    (row,) = cache.load_errors(spark, root).collect()
+    assert (row.page_id, row.error) == (1, "rate limit")
+
+
 def test_throttled_trigger(spark, tmp_path):
     folder = tmp_path / "in"
     pages(spark, "<p>a</p>").coalesce(1).write.parquet(str(folder))

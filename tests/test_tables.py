@@ -170,3 +170,19 @@ def test_tfidf_and_cost(spark):
     assert vector_join.mean_similarity(vectors).first().vectors == 2
     cost = embed.batch_cost(texts.limit(9)).first()
     assert cost.texts == 2 and cost.minutes == pytest.approx(2 * 25 / 60)
+
+
+def test_hashed_words_agree_in_both_forms(spark):
+    texts = ["a b b", "", "Été_1 été, ½ x", "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id int, text string")
+    provider = embed.hashed_words(8)
+    found = {r.page_id: r.embedding for r in embed.embed_texts(df, provider).collect()}
+    for i, want in enumerate(provider(texts)):
+        assert found[i] == pytest.approx(want)
+
+
+def test_key_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, "m", "a")], "page_id int, model string, text string")
+    for provider in (embed.hashed_words(2), lambda batch: [[1.0] for _ in batch]):
+        (row,) = embed.embed_texts(df, provider, keep=("model",)).collect()
+        assert row.asDict().keys() == {"page_id", "model", "embedding", "error"} and row.model == "m"
