@@ -30,12 +30,6 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def small_side(df: DataFrame, name: str, most_rows: int = 20_000) -> DataFrame:
-    """`df` written once; marked for broadcast only if it is found to have few rows."""
-    kept = written(df, name)
-    return F.broadcast(kept) if kept.count() <= most_rows else kept
-
-
 def is_training_row(doc_id: str = "doc_id") -> Column:
     """Rows labels may be learnt from; the others are held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4, F.lit(0)) != 2

@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import small_side, words
+from pagelens.functions.barrier import settled
+from pagelens.llm.common import words
+from pagelens.session import small_side
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -105,7 +107,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         repeated.alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
     )
-    return step.select(*docs.columns, measured.alias("measured"))
+    return step.select(*docs.columns, settled(measured).alias("measured"))
 
 
 def failures(m: Column) -> dict[str, Column]:
@@ -170,10 +172,7 @@ def host_table(measured: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judge(measured: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
-    """Add `base_failed` and `kept` to measured rows.
-
-    `kept` refers to the row number, which is always positive: a filter on it then stays
-    where it is, and is not pushed down with all measures written out within it."""
+    """Add `base_failed` and `kept` to measured rows."""
     failing = small_side(
         hosts.filter("host_failed").select(F.col("host").alias("__host")), "failing-hosts"
     )
@@ -186,7 +185,7 @@ def judge(measured: DataFrame, hosts: DataFrame, host: str = "source") -> DataFr
     return joined.withColumns(
         {
             "base_failed": failed,
-            "kept": ~failed & ~(bad & any_failed(m)) & (F.monotonically_increasing_id() >= 0),
+            "kept": settled(~failed & ~(bad & any_failed(m))),
         }
     ).drop("__host", "__bad")
 

@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import numbered, small_side
-from pagelens.session import written
+from pagelens.llm.common import numbered
+from pagelens.session import small_side, written
 
 WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 SHARE = 1.5  # of all words the mix takes

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.functions.barrier import settled
 from pagelens.llm.common import words
 
 SHINGLE = 5
@@ -78,7 +79,7 @@ def add_signature(df: DataFrame, text: str, out: str) -> DataFrame:
         .when(F.size("__bins") == BINS, F.col("__values"))
         .otherwise(dense)
     )
-    return step.withColumn(out, signature).select(*keep, out)
+    return step.withColumn(out, settled(signature)).select(*keep, out)
 
 
 def packed(signature: Column) -> Column:

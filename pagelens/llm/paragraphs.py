@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import small_batches, small_side
+from pagelens.llm.common import small_batches
 from pagelens.llm.components import components
-from pagelens.session import written
+from pagelens.session import small_side, written
 
 SPAN = 7
 SHINGLE = 5

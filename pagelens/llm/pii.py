@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions.barrier import settled
+
 # Base kinds, in the order of the contract, then the kinds the method adds.
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret", "id"]
@@ -168,7 +170,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         F.concat(*[F.col(f"__w_{k}") for k in WIDE_PATTERN]),
         lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
     )
-    return step.select(*docs.columns, F.concat("__base", wide).alias("spans"))
+    return step.select(*docs.columns, settled(F.concat("__base", wide)).alias("spans"))
 
 
 # -- votes, features ---------------------------------------------------------------

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import is_training_row, small_batches, small_side
-from pagelens.session import written
+from pagelens.llm.common import is_training_row, small_batches
+from pagelens.session import small_side, written
 
 LEXICON = 4_000
 EXCEPTIONS = 4_000

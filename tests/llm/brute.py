@@ -60,3 +60,75 @@ def rules(text: str | None) -> tuple:
         len(covered),
         n < 20 or 100 * len(covered) > 30 * n,
     )
+
+
+def simhash(text: str | None) -> int:
+    import xxhash
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(low)
+    if not words:
+        return 0
+    shingles = [words[i : i + 3] for i in range(len(words) - 2)] or [words]
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_components(prints: dict[int, int], bits: int = 3) -> dict[int, int]:
+    root = {i: i for i in prints}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= bits:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def edited(rows: list[tuple[int, str]]) -> dict[int, tuple[int, str]]:
+    rows = sorted(rows)
+    out = {}
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        q = len(text) // 4
+        changed = text[: len(text) - q] + following[:q]
+        out[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest())
+    return out
+
+
+def mix_targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, target, open_ = 1.5 * sum(sizes.values()), {}, list(names)
+    while open_:
+        share = total / sum(weight[s] for s in open_)
+        over = [s for s in open_ if share * weight[s] >= 2 * sizes[s]]
+        if not over:
+            return target | {s: share * weight[s] for s in open_}
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            total -= target[s]
+            open_.remove(s)
+    return target
+
+
+def archive_rows(pages: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    import base64
+
+    last: dict[bytes, int] = {}
+    for i, html in pages:
+        body = (html or "").encode()
+        last[body] = max(i, last.get(body, i))
+    out = {}
+    for i, html in pages:
+        body = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        own = last[body] == i
+        out[i] = (len(body), digest, "response" if own else "revisit", None if own else last[body])
+    return out
