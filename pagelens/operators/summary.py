@@ -43,12 +43,15 @@ def within_type_pairs(similar: DataFrame, by_type: DataFrame) -> DataFrame:
     return counted.select("page_type", "a", "b", "page_pairs", "score_ab", "score_ba")
 
 
-def within_type_spread(pairs: DataFrame) -> DataFrame:
-    """Box-plot numbers of each type's scores, types by falling median.
+def within_type_spread(pairs: DataFrame, by_type: DataFrame) -> DataFrame:
+    """Box-plot numbers of the scores above the limit of `pairs`, by type, types by falling
+    median; `pairs_possible` counts all pairs of the type's pages.
 
     Both orders of each pair count. Quartiles interpolate; whiskers are the furthest
     scores within 1.5 x IQR of the quartiles.
     """
+    sizes = by_type.groupBy("page_type").agg(F.sum("pages").alias("n"))
+    possible = sizes.select("page_type", F.expr("n * (n - 1) div 2").alias("pairs_possible"))
     order = F.array("score_ab", "score_ba")
     scores = pairs.select("page_type", "page_pairs", F.explode(order).alias("raw"))
     rounded = scores.withColumn("score", F.round("raw", SCORE_DIGITS))
@@ -62,7 +65,8 @@ def within_type_spread(pairs: DataFrame) -> DataFrame:
         F.max(F.when(score <= high, score)).alias("whisker_high"),
         F.max("total").alias("scores"),
     )
-    return whiskers.orderBy(F.desc("median"), "page_type")
+    # One row per type on both sides.
+    return whiskers.join(possible, "page_type").orderBy(F.desc("median"), "page_type")
 
 
 def typed_pair_analysis(
@@ -83,13 +87,16 @@ def first_of_types(typed: DataFrame, first: str = "product", second: str = "cart
     return picks.where("n >= 2 and a is not null and b is not null").select("a", "b")
 
 
-def mean_of_pairs(pairs: DataFrame, score: str = "similarity") -> DataFrame:
-    """Mean over the pairs a table stands for, weighted by `page_pairs`."""
+def mean_of_pairs(pairs: DataFrame, pages: DataFrame, score: str = "similarity") -> DataFrame:
+    """How many of all pairs of `pages` the table stands for (those above its limit), and
+    their mean, weighted by `page_pairs`. It is no mean over all pairs."""
     weight = F.col("page_pairs")
-    return pairs.agg(
-        F.sum(weight).alias("page_pairs"),
-        (F.sum(F.col(score) * weight) / F.sum(weight)).alias("mean_similarity"),
+    above = pairs.agg(
+        F.coalesce(F.sum(weight), F.lit(0)).alias("pairs_above_limit"),
+        (F.sum(F.col(score) * weight) / F.sum(weight)).alias("mean_above_limit"),
     )
+    possible = pages.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("pairs_possible"))
+    return above.join(F.broadcast(possible))  # one-row tables
 
 
 def feature_sample(pages: DataFrame, count: int = 3) -> DataFrame:

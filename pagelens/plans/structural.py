@@ -40,7 +40,7 @@ def analyse(
     distribution = type_distribution(typed)
     sample = summary.feature_sample(pages)
     counts = summary.type_document(distribution)
-    means = summary.mean_of_pairs(similar, "score_ab")
+    means = summary.mean_of_pairs(similar, typed, "score_ab")
     line = F.struct(*sample.columns)
     lines = sample.agg(F.array_sort(F.collect_list(line)).alias("structural_features_sample"))
     # One-row tables side by side.

@@ -485,18 +485,17 @@ hashed AS (SELECT id, dim, coalesce(n / len, 0) AS value
   FROM grid LEFT JOIN filled USING (id, dim) LEFT JOIN norms USING (id))"""
 
 
-# Types and structures of the dressed pages, from one element table.
-TYPED_TAG_PAIRS = f"""{tag_pairs(DRESSED, page_types_sql(DRESSED))},
-members AS (SELECT page_id, sig FROM counted JOIN groups USING (counts)),
-by_type AS (SELECT sig, page_type, count(*) AS n FROM members JOIN typed USING (page_id)
-  GROUP BY ALL),
-within AS (SELECT page_type, a, b, {big('CASE WHEN a = b THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END')}
-    AS page_pairs, tag_sim
-  FROM tagalike JOIN by_type x ON x.sig = a JOIN by_type y ON y.sig = b AND y.page_type = x.page_type
-  WHERE page_type IS NOT NULL)"""
-TYPED_TAG_PAIRS = TYPED_TAG_PAIRS.replace(
-    "within AS (SELECT page_type,", "within AS (SELECT x.page_type AS page_type,"
-).replace("WHERE page_type IS NOT NULL)", "WHERE a <> b OR x.n > 1)")
+# Composite scores of the dressed structures, by the types of their pages.
+TYPED_SCORES = f"""WITH scored AS ({similar_structures_sql(DRESSED, DRESSED_SCORE_LIMIT)}),
+by_type AS (WITH {structures_sql(DRESSED, page_types_sql(DRESSED))}
+  SELECT sig, page_type, count(*) AS n FROM struct JOIN sigs USING (seq, counts, unique_classes,
+    unique_ids, {', '.join(f'{t}_count' for t in FORM_TAGS)}, pats)
+  JOIN typed USING (page_id) GROUP BY sig, page_type),
+within AS (SELECT x.page_type AS page_type, a, b,
+    {big('CASE WHEN a = b THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END')} AS page_pairs,
+    score_ab, score_ba
+  FROM scored JOIN by_type x ON x.sig = a JOIN by_type y ON y.sig = b AND y.page_type = x.page_type
+  WHERE a <> b OR x.n > 1)"""
 
 
 def top_pairs_sql(table: str) -> str:
@@ -838,30 +837,39 @@ SELECT (SELECT count(*) FROM visual) AS vectors, round(avg(s), 9) AS mean_full,
   round(avg(s) FILTER (WHERE a < b), 9) AS mean_upper FROM every""",
     "type_distribution": f"""WITH {page_types_sql(DRESSED)}
 SELECT page_type, count(*) AS pages FROM typed GROUP BY page_type""",
-    "within_type_pairs": f"""WITH {TYPED_TAG_PAIRS}
-SELECT page_type, a, b, page_pairs, round(tag_sim, 9) AS score FROM within""",
-    "within_type_spread": f"""WITH {TYPED_TAG_PAIRS},
-expanded AS (SELECT page_type, round(tag_sim, 6) AS score,
-    unnest(range(2 * page_pairs)) AS one FROM within),
+    "within_type_pairs": f"{TYPED_SCORES} SELECT * FROM within",
+    "within_type_spread": f"""{TYPED_SCORES},
+orders AS (SELECT page_type, page_pairs, score_ab AS raw FROM within
+  UNION ALL SELECT page_type, page_pairs, score_ba FROM within),
+expanded AS (SELECT page_type, round(raw, 6) AS score, unnest(range(page_pairs)) AS one FROM orders),
 quarters AS (SELECT page_type, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
-    quantile_cont(score, 0.75) AS q3, count(*) AS scores FROM expanded GROUP BY page_type)
+    quantile_cont(score, 0.75) AS q3, count(*) AS scores FROM expanded GROUP BY page_type),
+possible AS (SELECT page_type, {big('sum(n) * (sum(n) - 1) // 2')} AS pairs_possible
+  FROM by_type GROUP BY page_type)
 SELECT page_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
   round(min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
-  round(max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high, scores
-FROM expanded JOIN quarters USING (page_type) GROUP BY page_type, q1, median, q3, scores""",
-    "product_pairs": f"""WITH {TYPED_TAG_PAIRS}
-SELECT a, b, page_pairs, round(tag_sim, 9) AS score FROM within WHERE page_type = 'product'""",
-    "product_against_cart": f"""WITH {structures_sql(DRESSED, page_types_sql(DRESSED))},
+  round(max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high, scores,
+  pairs_possible
+FROM expanded JOIN quarters USING (page_type) JOIN possible USING (page_type)
+GROUP BY page_type, q1, median, q3, scores, pairs_possible""",
+    "product_pairs": f"""{TYPED_SCORES}
+SELECT a, b, page_pairs, score_ab, score_ba FROM within WHERE page_type = 'product'""",
+    "product_against_cart": f"""WITH RECURSIVE {structures_sql(DRESSED, page_types_sql(DRESSED))},
 pair AS (SELECT min(page_id) FILTER (WHERE page_type = 'product') AS a,
     min(page_id) FILTER (WHERE page_type = 'cart') AS b FROM typed),
-{TAG_DOTS.format(key='page_id', table='struct')}
-SELECT pair.a, pair.b, round((SELECT sum(u.n * v.n) FROM long_counts u JOIN long_counts v
-    ON u.tag = v.tag WHERE u.k = pair.a AND v.k = pair.b) / (p.len * q.len), 9) AS tag_sim,
-  round(css_sim, 9) AS css_sim, round(form_sim, 9) AS form_sim, round(pattern_sim, 9) AS pattern_sim
-FROM pair JOIN (SELECT x.page_id AS xa, y.page_id AS yb, {pair_terms('x', 'y')}
-  FROM pair JOIN struct x ON x.page_id = pair.a JOIN struct y ON y.page_id = pair.b) t
-  ON t.xa = pair.a AND t.yb = pair.b
-JOIN lengths p ON p.k = pair.a JOIN lengths q ON q.k = pair.b""",
+{TAG_DOTS.format(key='page_id', table='struct')},
+cand AS (SELECT pair.a, pair.b, (SELECT sum(u.n * v.n) FROM long_counts u JOIN long_counts v
+    ON u.tag = v.tag WHERE u.k = pair.a AND v.k = pair.b) / (p.len * q.len) AS tag_sim,
+    css_sim, form_sim, pattern_sim
+  FROM pair JOIN (SELECT x.page_id AS xa, y.page_id AS yb, {pair_terms('x', 'y')}
+    FROM pair JOIN struct x ON x.page_id = pair.a JOIN struct y ON y.page_id = pair.b) t
+    ON t.xa = pair.a AND t.yb = pair.b
+  JOIN lengths p ON p.k = pair.a JOIN lengths q ON q.k = pair.b),
+pairs AS (SELECT a, b FROM cand UNION ALL SELECT b, a FROM cand),
+{ratio_sql('pairs', 'struct', 'page_id')}
+SELECT c.a, c.b, round(tag_sim, 9) AS tag_sim, round(css_sim, 9) AS css_sim,
+  round(form_sim, 9) AS form_sim, round(pattern_sim, 9) AS pattern_sim, {SCORES}
+FROM cand c {BOTH_RATIOS}""",
     "site_coverage": f"""WITH {STRUCTURAL_VECTORS},{VISUAL_VECTORS},{COMBINED_VECTORS},
 rows AS ({' UNION ALL '.join(
         f"SELECT '{lens}' AS lens, n AS vectors, {big(dim)} AS dimension, "
@@ -877,8 +885,9 @@ sized AS (SELECT page_id, count(DISTINCT tag) AS unique_tags,
 SELECT * FROM sized ORDER BY page_id LIMIT 3""",
     "similar_pair_summary": f"""WITH {STRUCTURAL_VECTORS},
 {folded_pairs('structural', STRUCTURAL_LIMIT)}
-SELECT {big('sum(page_pairs)')} AS page_pairs,
-  round(sum(similarity * page_pairs) / sum(page_pairs), 6) AS mean_similarity FROM alike""",
+SELECT {big('sum(page_pairs)')} AS pairs_above_limit,
+  round(sum(similarity * page_pairs) / sum(page_pairs), 6) AS mean_above_limit,
+  (SELECT count(*) * (count(*) - 1) // 2 FROM structural) AS pairs_possible FROM alike""",
     "top_similar_pairs": f"""WITH {STRUCTURAL_VECTORS},
 visual AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings
   JOIN pages ON page_id = vec_id),{COMBINED_VECTORS},

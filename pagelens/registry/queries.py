@@ -739,38 +739,34 @@ def type_distribution(spark, sf):
     return page_types.type_distribution(page_types.classify(inputs.dressed(spark, sf, fields)))
 
 
-def tag_lens_by_type(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Pairs alike by tag counts, with the tag term as their score, and types per signature."""
+def scores_by_type(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Structures with a composite score above the limit, and page types per structure."""
     fields = ("tag", "attrs", "classes", "own_string")
     pages = written(inputs.dressed(spark, sf, fields), "parsed")
-    counted = structure.page_tag_counts(pages)
-    groups = written(structure.tag_groups(counted), "tag-groups")
-    similar = structure.similar_tag_counts(groups, TAG_LIMIT)
-    scored = similar.withColumn("score_ab", F.col("tag_sim")).withColumn("score_ba", F.col("tag_sim"))
-    members = structure.group_membership(counted, groups)
-    by_type = summary.type_members(members, page_types.classify(pages))
-    return scored, written(by_type, "by-type")
+    structures = written(structure.page_structures(pages), "structures")
+    sigs = written(structure.signatures(structures), "sigs")
+    similar = written(structure.similar_structures(sigs, DRESSED_SCORE_LIMIT), "similar")
+    by_type = summary.type_members(structure.membership(structures, sigs), page_types.classify(pages))
+    return similar, written(by_type, "by-type")
 
 
 @query
 def within_type_pairs(spark, sf):
-    scored, by_type = tag_lens_by_type(spark, sf)
-    found = summary.within_type_pairs(scored, by_type)
-    return found.select("page_type", "a", "b", "page_pairs", F.round("score_ab", 9).alias("score"))
+    found = summary.within_type_pairs(*scores_by_type(spark, sf))
+    return rounded(found, 9, "score_ab", "score_ba")
 
 
 @query
 def within_type_spread(spark, sf):
-    scored, by_type = tag_lens_by_type(spark, sf)
-    found = summary.within_type_spread(summary.within_type_pairs(scored, by_type))
+    similar, by_type = scores_by_type(spark, sf)
+    found = summary.within_type_spread(summary.within_type_pairs(similar, by_type), by_type)
     return rounded(found, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 @query
 def product_pairs(spark, sf):
-    scored, by_type = tag_lens_by_type(spark, sf)
-    found = summary.typed_pair_analysis(scored, by_type, "product")
-    return found.select("a", "b", "page_pairs", F.round("score_ab", 9).alias("score"))
+    found = summary.typed_pair_analysis(*scores_by_type(spark, sf), "product").drop("page_type")
+    return rounded(found, 9, "score_ab", "score_ba")
 
 
 @query
@@ -780,8 +776,7 @@ def product_against_cart(spark, sf):
     pages = written(inputs.dressed(spark, sf, fields), "parsed")
     pair = summary.first_of_types(page_types.classify(pages))
     found = structure.score_listed(pair, structure.page_structures(pages))
-    terms = ["tag_sim", "css_sim", "form_sim", "pattern_sim"]
-    return rounded(found.select("a", "b", *terms), 9, *terms)
+    return rounded(found.select("a", "b", *SCORE_COLUMNS), 9, *SCORE_COLUMNS)
 
 
 @query
@@ -801,9 +796,10 @@ def feature_sample(spark, sf):
 
 @query
 def similar_pair_summary(spark, sf):
-    """Page pairs that the similar pairs stand for, and their mean similarity."""
-    found = vector_join.similar_pairs(structural_vectors(spark, sf), STRUCTURAL_LIMIT)
-    return rounded(summary.mean_of_pairs(found), 6, "mean_similarity")
+    """Page pairs above the limit, their mean similarity, and all pairs there are."""
+    vectors = structural_vectors(spark, sf)
+    found = vector_join.similar_pairs(vectors, STRUCTURAL_LIMIT)
+    return rounded(summary.mean_of_pairs(found, vectors), 6, "mean_above_limit")
 
 
 # -- top pairs, neighbours, layouts ------------------------------------------------

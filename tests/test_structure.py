@@ -142,7 +142,9 @@ def test_spread_and_first_of_types(spark):
         [("t", 1, 2, 3, 0.5, 0.5), ("t", 1, 3, 1, 0.9, 0.7), ("u", 4, 5, 1, 0.1, 0.1)],
         "page_type string, a int, b int, page_pairs bigint, score_ab double, score_ba double",
     )
-    spread = summary.within_type_spread(pairs).collect()
+    by_type = spark.createDataFrame([(1, "t", 3), (2, "t", 2), (4, "u", 2)], "sig int, page_type string, pages bigint")
+    spread = summary.within_type_spread(pairs, by_type).collect()
+    assert [r.pairs_possible for r in spread] == [10, 1]
     values = np.array([0.5] * 6 + [0.9, 0.7])
     assert [r.page_type for r in spread] == ["t", "u"]
     assert (spread[0].q1, spread[0].median, spread[0].q3) == tuple(np.percentile(values, [25, 50, 75]))
