@@ -587,6 +587,15 @@ SELECT page_id, min(path) AS path FROM files WHERE ext = 'png' GROUP BY page_id"
 SELECT page_type, count(*) AS pages, count(*) AS listed, false AS has_visual,
   (SELECT count(*) FROM typed) AS total_files
 FROM typed GROUP BY page_type""",
+    "visual_document": f"""WITH {VISUAL_VECTORS},
+line AS (SELECT n AS total_files, round(total / (n * n), 6) AS average_similarity FROM {mean_sql('visual')})
+SELECT id, unnest(range(64)) AS dim, round(unnest(vector), 6) AS value, total_files, average_similarity,
+  {big(64)} AS embedding_dimension FROM visual, line""",
+    "feature_document": f"""WITH {feature_sql(GIVEN)},
+long AS ({' UNION ALL '.join(
+        f"SELECT page_id, '{name}' AS feature, {big(place)} AS place, CAST({name} AS DOUBLE) AS value FROM feats"
+        for place, name in enumerate(VECTOR_FEATURES, start=1))})
+SELECT page_id, feature, place, value, round(avg(value) OVER (PARTITION BY feature), 6) AS mean FROM long""",
     "interactables_json": f"""WITH {INTERACTIVE}
 SELECT page_id, count(*) AS interactables, string_agg(tag, ',' ORDER BY pos) AS tags
 FROM shown GROUP BY page_id""",

@@ -26,7 +26,7 @@ from pagelens.operators import (
     weblog,
 )
 from pagelens.operators.dom import ALL_FIELDS, elements, parse_pages
-from pagelens.plans import semantic, site_report
+from pagelens.plans import documents, semantic, site_report
 from pagelens.registry import inputs
 from pagelens.session import scratch_path, ship_package, written
 from pagelens.sources import cache as cache_source
@@ -147,6 +147,35 @@ def result_documents(spark, sf):
     return joined_counts.withColumn("has_visual", F.lit(absent is not None))
 
 
+@query
+def visual_document(spark, sf):
+    """Write the visual result, read it back: the vectors beside the summary."""
+    vectors = inputs.vectors(spark, sf)
+    path = documents.save_visual(vectors, scratch_path(spark, "visual"))
+    files = results.read_result(spark, f"{path}/files", vectors.schema)
+    schema = "total_files bigint, average_similarity double, embedding_dimension bigint"
+    line = results.read_document(spark, f"{path}/summary", schema)
+    return rounded(long_vectors(files).join(F.broadcast(line)), 6, "average_similarity")
+
+
+@query
+def feature_document(spark, sf):
+    """Write the feature maps, read them back: every page's features, with their mean."""
+    table = site_report.structural_features(read_pages(spark, sf))
+    path = documents.save_features(table, scratch_path(spark, "feature-maps"))
+    pages = results.read_result(spark, f"{path}/page_features", "page_id bigint, features map<string,double>")
+    schema = "feature_names array<string>, feature_stats map<string,map<string,double>>"
+    line = results.read_document(spark, f"{path}/summary", schema)
+    each = pages.select("page_id", F.explode("features").alias("feature", "value"))
+    stats = line.select(F.explode("feature_stats").alias("feature", "stats"), "feature_names")
+    known = stats.select(
+        "feature",
+        F.round(F.col("stats")["mean"], 6).alias("mean"),
+        F.array_position("feature_names", F.col("feature")).cast("bigint").alias("place"),
+    )
+    return each.join(F.broadcast(known), "feature")  # one row per feature
+
+
 @query
 def interactables_json(spark, sf):
     found = interactables.page_interactables(
