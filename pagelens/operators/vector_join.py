@@ -48,20 +48,30 @@ class VectorSet:
 
 def fold_copies(vectors: DataFrame, name: str = "vectors") -> VectorSet:
     """Keep one row per distinct vector of `vectors(id, vector)`, which is read twice and
-    should be a table or written. An `extra` column (an array of numbers for the join's
+    should be a table or written. Vectors are grouped and joined by two 64-bit hashes, so
+    that membership moves two numbers per id and not the vector. An `extra` column (an array of numbers for the join's
     own filter) counts as part of the vector.
 
     Null and zero vectors have no direction and take no part in any pair.
     """
     extra = F.col("extra") if "extra" in vectors.columns else F.array().cast("array<double>")
     given = vectors.select("id", "vector", extra.alias("extra"))
-    given = given.where(unit(F.col("vector")).isNotNull())
-    counted = given.groupBy("vector", "extra").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies")
+    given = given.where(unit(F.col("vector")).isNotNull()).withColumns(
+        {
+            "first_hash": F.xxhash64("vector", "extra"),
+            "second_hash": F.xxhash64(F.reverse("vector"), F.reverse("extra")),
+        }
+    )
+    key = ["first_hash", "second_hash"]
+    counted = given.groupBy(*key).agg(
+        F.first("vector").alias("vector"),
+        F.first("extra").alias("extra"),
+        F.min("id").alias("id"),
+        F.count("*").alias("copies"),
     )
     distinct = written(counted.withColumn("unit", unit(F.col("vector"))), name)
-    reps = distinct.select("vector", "extra", F.col("id").alias("rep"))
-    members = given.join(reps, ["vector", "extra"]).select("id", "rep")
+    reps = distinct.select(*key, F.col("id").alias("rep"))
+    members = given.select("id", *key).join(reps, key).select("id", "rep")
     return VectorSet(distinct, members, distinct.count())
 
 
@@ -233,6 +243,10 @@ def _pairs_best(k: int, limit: float) -> Callable:
 
     def pick(left, right, same):
         a, b, score = above(left, right, same)
+        if len(score) > k:  # only those that reach the k-th best, ties included, are sorted
+            rounded = np.round(score, DIGITS)
+            kept = rounded >= np.partition(rounded, -k)[-k]
+            a, b, score = a[kept], b[kept], score[kept]
         ranks = [np.unique(ids, return_inverse=True)[1] for ids in (b, a)]
         best = np.lexsort((*ranks, -np.round(score, DIGITS)))[:k]
         return a[best], b[best], score[best]
