@@ -203,14 +203,14 @@ def groups(docs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_links"))
     )
     nodes = written(components(pairs), "components")
-    named = (
+    smallest = (
         nodes.join(distinct, nodes["node"] == distinct["fp"])
         .groupBy("root")
         .agg(F.min("least").alias("component"))
     )
+    named = nodes.join(smallest, "root").select(F.col("node").alias("fp"), "component")
     labels = written(
-        distinct.join(nodes, distinct["fp"] == nodes["node"], "left")
-        .join(named, "root", "left")
+        distinct.join(named, "fp", "left")  # by fp: rows without a link spread over the tasks
         .join(degree, "fp", "left")
         .select(
             "fp",
