@@ -1,8 +1,8 @@
 """WARC records in ZIP packages: writing, and reading by ranges without extraction.
 
-A package is a ZIP archive with stored members: archive/data.warc, whose records stand one
-after another, and indexes/index.cdxj, one line per record with its offset and length in
-that member. The reader fetches the end of a package, follows the (ZIP64) end records to
+A package is a ZIP archive with stored members: archive/data.warc.gz, whose records stand
+one after another, each compressed by itself, and indexes/index.cdxj, one line per record
+with its offset and length in that member. The reader fetches the end of a package, follows the (ZIP64) end records to
 the central directory, locates the members through their local headers, reads the index,
 and then fetches single records by range.
 
@@ -14,6 +14,7 @@ adds is declared as the ZIP comment.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import small_batches
-from pagelens.session import scratch_path, written
+from pagelens.session import scratch_path, small_side, written
 
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 16 << 20  # a package is closed when its records exceed this
 MIN_BYTES = 0  # shorter payloads are never written as revisits
 DATE = "2020-01-01T00:00:00Z"
@@ -72,6 +73,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def packed(data: bytes) -> bytes:
+    """A record as a gzip member of its own, the same bytes at every run."""
+    return gzip.compress(data, compresslevel=3, mtime=0)
+
+
 def package(records: list[tuple[str, bytes]], force_zip64: bool = False) -> bytes:
     """A package of (record id, record) pairs, without the last byte: the line end that the
     writer adds is its comment."""
@@ -104,7 +110,7 @@ def _package_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         urls, revisits = batch.column("url").to_pylist(), batch.column("revisit").to_pylist()
         for i, html in enumerate(batch.column("html")):
             payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
-            data = record(ids[i], urls[i], payload, targets[i], revisits[i])
+            data = packed(record(ids[i], urls[i], payload, targets[i], revisits[i]))
             records.append((record_id(ids[i]), data))
             size += len(data)
             if size >= PACKAGE_BYTES:
@@ -130,6 +136,7 @@ def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         .filter(~F.col("page_id").eqNullSafe(F.col("last")))
         .select(F.col("page_id").alias("__id"), F.col("last").alias("refers_to"))
     )
+    revisits = small_side(revisits, "revisits")  # few as a rule: then no markup is moved
     found = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("__id")), "left")
     return found.select(
         "page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit")
@@ -297,7 +304,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch], with_html: bool) -> Iterato
                 if file:
                     file.close()
                 file, at = opened(uri), uri
-            got = parse(fetcher(file)(offset, length))
+            got = parse(gzip.decompress(fetcher(file)(offset, length)))
             kind = got["WARC-Type"]
             stated = got["WARC-Payload-Digest"].removeprefix("sha1:")
             if kind == "response" and digest(got["payload"]) != stated:

@@ -28,7 +28,7 @@ def test_zip64_end_records(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 100)
     records = [("a", b"x" * 500), ("b", b"y" * 700)]
-    data = archives.package(records) + b"\n"
+    data = archives.package(records, force_zip64=True) + b"\n"
     assert b"PK\x06\x06" in data and b"PK\x06\x07" in data
     found = archives.index(len(data), fetch_of(data))
     assert [(n, data[a : a + z]) for n, a, z in found] == records
