@@ -15,7 +15,9 @@ powers of two, which need no padding either.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +32,9 @@ CAPACITY = 2048
 END = 1  # id that closes each document
 QUADRATIC = 1024.0  # length at which attention costs as much as the linear layers
 BLOCK_TOKENS = 1 << 20
-CACHED = 200_000
+CACHED = 300_000
+SPECIAL = "<|endoftext|>"
+_OPEN_SPACE = re.compile(r" (?:\s|\Z)")  # a space that may belong to a longer token
 VOCABULARY = "byte_bpe_50k"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -41,6 +45,22 @@ PIECES = (
 # -- tokens ------------------------------------------------------------------------
 
 
+class Parts(dict):
+    """Ids by part of a text, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.encode(" " + part)
+        if len(self) >= CACHED:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = got
+        return got
+
+
 class Tokens:
     """Ids of texts under the byte-level vocabulary, equal to those of its tokenizers file.
 
@@ -56,32 +76,24 @@ class Tokens:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        special = {"<|endoftext|>": len(ranks)}
         self.encoding = tiktoken.Encoding(
-            VOCABULARY, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special
+            VOCABULARY, pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)}
         )
-        self.known: dict[str, bytes] = {}
+        self.parts = Parts(self._encode)
 
     def _encode(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        if SPECIAL in text:
+            ids = self.encoding.encode(text, allowed_special="all")
+        else:
+            ids = self.encoding.encode_ordinary(text)
+        return array("I", ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        parts = text.split(" ")
-        first = parts[0]
-        if any(not p or p[0].isspace() for p in parts[1:]):
+        if _OPEN_SPACE.search(text):
             return self._encode(text)
-        known, out = self.known, [self._encode(first)] if first else []
-        for part in parts[1:]:
-            got = known.get(part)
-            if got is None:
-                got = self._encode(" " + part)
-                if len(known) >= CACHED:
-                    known.clear()
-                if len(part) <= 64:
-                    known[part] = got
-            out.append(got)
-        return b"".join(out)
+        first, *rest = text.split(" ")
+        return self._encode(first) + b"".join(map(self.parts.__getitem__, rest))
 
 
 @lru_cache(maxsize=1)
