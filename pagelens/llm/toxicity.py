@@ -49,23 +49,35 @@ LOOKALIKES = dict(
     )
 )
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"}
-_FOLD = str.maketrans(LOOKALIKES | {"­": "", "​": "", "‌": "", "‍": "", "﻿": ""})
-_SIGN = re.compile(  # between letters, or one before the first letter
-    r"(?<=[^\W\d_])[0134578@$!€]+(?=[^\W\d_])|(?<![\w@$!€])[0134578@$€](?=[^\W\d_])"
-)
-_SIGN_RUN = str.maketrans(SIGNS)
-_GAP = re.compile(r"[\W\d_]+")
+INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
+_FOLD = str.maketrans(LOOKALIKES | dict.fromkeys(INVISIBLE, ""))
+_FOLDED = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}]")
+_WIDE = re.compile("[\uff00-\uff5e\U0001d400-\U0001d7ff]")  # full-width and mathematical forms
+_SIGNS = re.compile(r"[0134578@$!€]+")
+_LETTER_OF = str.maketrans(SIGNS)
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters(m: re.Match) -> str:
+    """Signs between letters, and one sign before a word, as the letters they stand for."""
+    (start, end), text, signs = m.span(), m.string, m.group()
+    if end < len(text) and text[end].isalpha():
+        before = text[start - 1] if start else " "
+        first = len(signs) == 1 and signs != "!" and not (before.isalnum() or before == "_")
+        if before.isalpha() or first:
+            return signs.translate(_LETTER_OF)
+    return signs
 
 
 def fold(text: str | None) -> str:
     """Folded words, each after a blank, with a blank at the end; "" if there is none."""
     low = (text or "").lower()
     if not low.isascii():
-        low = low.translate(_FOLD)
-        if any("＀" <= c <= "～" or "\U0001d400" <= c <= "\U0001d7ff" for c in low):
+        if _WIDE.search(low):
             low = unicodedata.normalize("NFKC", low).lower()
-    low = _SIGN.sub(lambda m: m.group().translate(_SIGN_RUN), low)
-    words = _GAP.sub(" ", low).strip(" ")
+        if _FOLDED.search(low):
+            low = low.translate(_FOLD)
+    words = " ".join(_WORD.findall(_SIGNS.sub(_letters, low)))
     return f" {words} " if words else ""
 
 
