@@ -8,12 +8,13 @@ wherever it stands. Line ends play no part.
 Paragraphs are sets of 5-word shingles. Equal ones are folded; MinHash bands of ROWS values
 (BANDS of them: two paragraphs of Jaccard similarity 0.8 meet with probability
 1 - (1 - 0.8**ROWS)**BANDS = 0.983) name the buckets in which different ones meet. Pairs are
-verified by exact Jaccard similarity, components of verified pairs are classes, and a class
-found in two documents or more is repeated. Consecutive repeated paragraphs count from
+verified by exact Jaccard similarity; of those that hold a bucket passes on a spanning
+forest, so that many variants of one paragraph make as many links, not their square.
+Components of the links are classes, and a class found in two documents or more is repeated. Consecutive repeated paragraphs count from
 MIN_RUN words on; all but the first occurrence of a class are marked for removal.
 
-A bucket with more than SMALL different paragraphs is not paired off: its pairs are found
-through prefix filtering, which is exact. Two sets of similarity 0.8 must share one of the
+A bucket with more than SMALL different paragraphs is not compared in one task: its pairs
+are found through prefix filtering, which is exact. Two sets of similarity 0.8 must share one of the
 first n - ceil(0.8 n) + 1 shingles of each in an order common to both, and the order here is
 from rare to frequent.
 """
@@ -36,8 +37,8 @@ SPAN = 7
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 2, 4
-MIN_RUN = 14
-SMALL = 64
+MIN_RUN = 18
+SMALL = 1_024
 SIDE_ROWS = 1_000_000  # of 16 bytes: most a broadcast may have
 SEEN = 100_000  # paragraphs a task remembers in order not to band copies again
 
@@ -194,25 +195,89 @@ def _prefix_pairs(large: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets are similar, by exact Jaccard similarity; a matrix."""
+    sizes = np.array([len(s) for s in sets])
+    _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((len(sets), places.max() + 1), np.float32)
+    held[np.repeat(np.arange(len(sets)), sizes), places] = 1
+    both = held @ held.T
+    return both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs of a few sets, as pairs of their numbers."""
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if both >= SIMILARITY * (len(sets[0]) + len(sets[1]) - both) - 1e-6 else []
+    similar, open_, edges = _similar(sets), np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        reached = [root]
+        while reached:
+            at = reached.pop()
+            found = np.flatnonzero(similar[at] & open_)
+            open_[found] = False
+            edges += [(at, int(x)) for x in found]
+            reached += found.tolist()
+    return edges
+
+
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of buckets that stand together in (key, h, shingles); one bucket is held."""
+    key, names, sets, out = None, [], [], []
+
+    def passed() -> pa.RecordBatch:
+        ends = [np.array([e[i] for e in out], np.int64) for i in (0, 1)]
+        low, high = np.minimum(*ends), np.maximum(*ends)
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    for batch in batches:
+        lists = batch.column("shingles")
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        own = np.split(flat, ends[:-1]) if len(ends) else []
+        rows = zip(batch.column("key").to_pylist(), batch.column("h").to_pylist(), own, strict=True)
+        for bucket, h, shingles in rows:
+            if bucket != key:
+                out += [(names[i], names[j]) for i, j in (forest(sets) if len(sets) > 1 else [])]
+                key, names, sets = bucket, [], []
+            names.append(h)
+            sets.append(shingles)
+        if out:
+            yield passed()
+            out = []
+    out = [(names[i], names[j]) for i, j in (forest(sets) if len(sets) > 1 else [])]
+    if out:
+        yield passed()
+
+
 def links(cut_rows: DataFrame) -> DataFrame:
-    """(a, b): hashes of different paragraphs that are similar, verified."""
+    """(a, b), a < b: hashes of different paragraphs that are similar, verified; enough of
+    them to connect all that are connected."""
     met = written(colliding(cut_rows), "met")
     small, large = met.filter(F.col("n") <= SMALL), met.filter(F.col("n") > SMALL)
-    a, b = small.alias("a"), small.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h"))).select(
-        F.col("a.h").alias("a"), F.col("b.h").alias("b")
-    )
     wanted = small_side(met.select("h").distinct(), "met-hashes", SIDE_ROWS)
     sets = written(
         cut_rows.select("h", "shingles").join(wanted, "h").groupBy("h").agg(F.first("shingles").alias("shingles")),
         "shingle-sets",
     )
+    buckets = small.join(sets, "h").select("key", "h", "shingles")
+    found = (
+        buckets.repartition("key")
+        .sortWithinPartitions("key", "h")
+        .mapInArrow(_forest_batches, "a long, b long")
+    )
     if not large.isEmpty():
-        pairs = pairs.union(_prefix_pairs(large.select("h").distinct(), sets))
-    of_a = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x"))
-    of_b = sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
-    compared = pairs.distinct().join(of_a, "a").join(of_b, "b")
-    return compared.filter(jaccard(F.col("x"), F.col("y")) >= SIMILARITY).select("a", "b")
+        of_a = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x"))
+        of_b = sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
+        pairs = _prefix_pairs(large.select("h").distinct(), sets).distinct()
+        compared = pairs.join(of_a, "a").join(of_b, "b")
+        alike = jaccard(F.col("x"), F.col("y")) >= SIMILARITY
+        found = found.union(compared.filter(alike).select("a", "b"))
+    return found.distinct()
 
 
 def repeated(docs: DataFrame) -> DataFrame:

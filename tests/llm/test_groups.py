@@ -139,6 +139,28 @@ def test_near_equal_paragraphs_link_by_jaccard(spark):
     assert base and {tuple(r) for r in paragraphs.links(df).collect()} == {(0, 1)}
 
 
+def test_forests_connect_what_is_connected():
+    draw = random.Random(11)
+    sets = []
+    for _ in range(12):
+        own = sorted(draw.sample(range(10_000), 20))
+        for _ in range(draw.randint(1, 6)):
+            sets.append(np.array(sorted({*own[: 20 - draw.randint(0, 2)], *draw.sample(range(10_000), draw.randint(0, 1))}), np.int32))
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+               if i < j and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
+
+    def classes(pairs):
+        root = list(range(len(sets)))
+        for _ in sets:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    edges = [tuple(sorted(e)) for e in paragraphs.forest(sets)]
+    assert set(edges) <= similar and len(edges) < len(sets)
+    assert classes(edges) == classes(similar)
+
+
 def test_large_buckets_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "SMALL", 1)
     draw = random.Random(8)
