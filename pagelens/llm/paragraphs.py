@@ -8,8 +8,8 @@ wherever it stands. Line ends play no part.
 Paragraphs are sets of 5-word shingles. Equal ones are folded; MinHash bands of ROWS values
 (BANDS of them: two paragraphs of Jaccard similarity 0.8 meet with probability
 1 - (1 - 0.8**ROWS)**BANDS = 0.983) name the buckets in which different ones meet. Pairs are
-verified by exact Jaccard similarity; of those that hold a bucket passes on a spanning
-forest, so that many variants of one paragraph make as many links, not their square.
+verified by exact Jaccard similarity; of those that hold a bucket passes on a
+star for each component, so that many variants make as many links, not their square.
 Components of the links are classes, and a class found in two documents or more is repeated. Consecutive repeated paragraphs count from
 MIN_RUN words on; all but the first occurrence of a class are marked for removal.
 
@@ -206,7 +206,8 @@ def _similar(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs of a few sets, as pairs of their numbers."""
+    """The components of the similar pairs of a few sets, each as a star around its first
+    set, in pairs of their numbers: buckets that hold the same sets give the same pairs."""
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
         return [(0, 1)] if both >= SIMILARITY * (len(sets[0]) + len(sets[1]) - both) - 1e-6 else []
@@ -220,7 +221,7 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             at = reached.pop()
             found = np.flatnonzero(similar[at] & open_)
             open_[found] = False
-            edges += [(at, int(x)) for x in found]
+            edges += [(root, int(x)) for x in found]
             reached += found.tolist()
     return edges
 
@@ -255,8 +256,8 @@ def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def links(cut_rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: hashes of different paragraphs that are similar, verified; enough of
-    them to connect all that are connected."""
+    """(a, b), a < b: hashes of different paragraphs that are similar or connected by verified
+    pairs of a bucket; enough of them to connect all that are connected."""
     met = written(colliding(cut_rows), "met")
     small, large = met.filter(F.col("n") <= SMALL), met.filter(F.col("n") > SMALL)
     wanted = small_side(met.select("h").distinct(), "met-hashes", SIDE_ROWS)

@@ -157,7 +157,7 @@ def test_forests_connect_what_is_connected():
         return root
 
     edges = [tuple(sorted(e)) for e in paragraphs.forest(sets)]
-    assert set(edges) <= similar and len(edges) < len(sets)
+    assert len(edges) < len(sets)
     assert classes(edges) == classes(similar)
 
 
