@@ -230,7 +230,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counted = chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
     counted = written(counted.withColumnRenamed("doc_id", "__id"), "chosen")
-    kept = docs.join(counted, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # What is kept grows with the table: it is never sent to all tasks.
+    kept = docs.join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     once = kept.filter("__rows = 1")
     more = kept.filter("__rows > 1")
     text = F.coalesce("text", F.lit(""))

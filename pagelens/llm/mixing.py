@@ -222,14 +222,34 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def repeat(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` as often as the mix takes them, with the columns of `docs`."""
-    drawn = mix(docs.select("doc_id", "source", "text")).filter("times > 0")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), "doc_id", "source",
-        sizes(docs).alias("size"), F.xxhash64("text").alias("mark"),
+    """Rows of `docs` as often as the mix takes them, with the columns of `docs`.
+
+    Texts are moved once, to meet what is drawn for their doc_id. Only rows that share a
+    doc_id with others are told apart by their place among them first."""
+    drawn = written(
+        mix(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias("__id"), "copy", "times"),
+        "drawn",
     )
-    rows = _placed(rows).alias("a")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.copy") == F.col("b.copy"))
-    taken = rows.join(drawn.select("doc_id", "copy", "times").alias("b"), same)
-    again = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    shared = written(
+        drawn.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id"), "shared-ids"
+    )
+    several = not shared.isEmpty()
+    other = shared.withColumnRenamed("__id", "__shared")
+    once = drawn
+    if several:
+        once = drawn.join(other, F.col("__id").eqNullSafe(F.col("__shared")), "left_anti")
+    # What is drawn grows with the table: it is never sent to all tasks.
+    once = once.filter("times > 0").select("__id", F.col("times").alias("__times")).hint("merge")
+    taken = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = taken.select(F.struct(*docs.columns).alias("row"), "__times")
+    if several:
+        own = docs.join(other, F.col("doc_id").eqNullSafe(F.col("__shared")))
+        own = own.select(
+            F.struct(*docs.columns).alias("row"), "doc_id", "source",
+            sizes(docs).alias("size"), F.xxhash64("text").alias("mark"),
+        )
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("a.copy") == F.col("b.copy"))
+        met = _placed(own).alias("a").join(drawn.filter("times > 0").alias("b"), same)
+        rows = rows.union(met.select("row", "times"))
+    again = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
     return again.select(*[F.col("row")[c].alias(c) for c in docs.columns])
