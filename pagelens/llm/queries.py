@@ -137,3 +137,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         "n_terms",
     )
+
+
+LLM_ORACLES["op5_host_rules"] = r"""
+WITH body AS (SELECT doc_id, source, coalesce(text, '') AS b FROM documents),
+split AS (SELECT doc_id, source, b,
+    list_filter(string_split_regex(b, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(b, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM body),
+windows AS (SELECT doc_id, i, ws[i + 1:i + 8] AS k
+  FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 7, 0))) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c
+  FROM windows) WHERE c > 1),
+gaps AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS g
+  FROM twice),
+covered AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS r FROM gaps GROUP BY doc_id),
+m AS (SELECT s.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(b) - length(regexp_replace(b, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    coalesce(r, 0) AS n_repeat_words, len(ls) AS n_lines
+  FROM split s LEFT JOIN covered c ON c.doc_id = s.doc_id),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * n_words
+      OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+      AS any_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE any_failed) AS k FROM f GROUP BY source),
+prior AS (SELECT avg(k / n) AS mean, coalesce(var_pop(k / n), 0) AS v, avg(n) AS size FROM h),
+strength AS (SELECT mean, least(size, CASE WHEN v > 0 AND mean * (1 - mean) / v - 1 > 0
+  THEN mean * (1 - mean) / v - 1 ELSE size END) AS w FROM prior),
+bad AS (SELECT source FROM h, strength WHERE (k + mean * w) / (n + w) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (any_failed AND EXISTS (
+    SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source)) AS kept
+FROM f"""
