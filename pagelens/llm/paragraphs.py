@@ -3,15 +3,19 @@
 Passages recur in the middle of lines and between other words, so a paragraph is cut where
 its own words say so: before each word whose hash (with the next word's) is the least among
 SPAN words on either side. A passage of some 50 words then has the same inner paragraphs
-wherever it stands. Line ends play no part.
+wherever it stands, several of them, so that a changed word spoils one or two. Line ends
+play no part.
 
 Paragraphs are sets of 5-word shingles. Equal ones are folded; MinHash bands of ROWS values
 (BANDS of them: two paragraphs of Jaccard similarity 0.8 meet with probability
 1 - (1 - 0.8**ROWS)**BANDS = 0.983) name the buckets in which different ones meet. Pairs are
 verified by exact Jaccard similarity; of those that hold a bucket passes on a
 star for each component, so that many variants make as many links, not their square.
-Components of the links are classes, and a class found in two documents or more is repeated. Consecutive repeated paragraphs count from
-MIN_RUN words on; all but the first occurrence of a class are marked for removal.
+Components of the links are classes, and a class found in two documents or more is repeated.
+Repeated paragraphs in a run count from MIN_RUN words on; all but the first occurrence of a
+class are marked for removal. A run goes on over paragraphs that are not repeated, such as
+one with a changed word, where the classes on both sides stand within REACH paragraphs, in
+this order, in another document too. What is bridged adds no words and is not marked.
 
 A bucket with more than SMALL different paragraphs is not compared in one task: its pairs
 are found through prefix filtering, which is exact. Two sets of similarity 0.8 must share one of the
@@ -33,11 +37,13 @@ from pagelens.llm.common import small_batches
 from pagelens.llm.components import components
 from pagelens.session import small_side, written
 
-SPAN = 7
+SPAN = 4
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 2, 4
-MIN_RUN = 18
+ALONE = 4  # smaller sets are similar to equal ones only: 3 of 4 is below SIMILARITY
+MIN_RUN = 12
+REACH = 4
 SMALL = 1_024
 SIDE_ROWS = 1_000_000  # of 16 bytes: most a broadcast may have
 SEEN = 100_000  # paragraphs a task remembers in order not to band copies again
@@ -159,8 +165,9 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         keys = band_keys(lists.flatten().to_numpy(zero_copy_only=False), starts)
+        used = (sizes[:, None] >= ALONE) | (np.arange(BANDS) == 0)  # equal sets meet in any band
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel()), pa.array(np.repeat(own, BANDS))], ["key", "h"]
+            [pa.array(keys[used]), pa.array(np.repeat(own, used.sum(1)))], ["key", "h"]
         )
 
 
@@ -281,6 +288,34 @@ def links(cut_rows: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def in_runs(members: DataFrame) -> DataFrame:
+    """`members` with `run`, which numbers the runs of a document.
+
+    The class before a gap and the one after it bridge it if they stand so in two documents;
+    the pairs asked for are those of gaps, and each is one row, however many documents hold
+    it."""
+    inside = Window.partitionBy("doc_id").orderBy("paragraph")
+    earlier = [F.max("class_id").over(inside.rangeBetween(-o, -o)) for o in range(1, REACH + 1)]
+    placed = written(members.withColumn("earlier", F.array(*earlier)), "placed")
+    gap = F.when(F.col("earlier")[0].isNull(), F.coalesce(*[F.col("earlier")[o] for o in range(1, REACH)]))
+    asked = placed.select(gap.alias("a"), F.col("class_id").alias("b")).filter("a is not null").distinct()
+    asked = small_side(asked, "gaps", SIDE_ROWS)
+    pairs = placed.select("doc_id", F.explode("earlier").alias("a"), F.col("class_id").alias("b"))
+    bridges = (
+        pairs.filter("a is not null")
+        .join(asked, ["a", "b"], "left_semi")
+        .groupBy("a", "b")
+        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .filter("low <> high")
+        .select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    )
+    bridges = small_side(bridges, "bridges", SIDE_ROWS)
+    over = (gap == F.col("__a")) & (F.col("class_id") == F.col("__b"))
+    starts = F.col("earlier")[0].isNull() & F.col("__a").isNull()
+    met = placed.join(bridges, over, "left").withColumn("starts", starts.cast("int"))
+    return met.withColumn("run", F.sum("starts").over(inside)).drop("earlier", "starts", "__a", "__b")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, stop, n_words, class_id, class_doc, removed): every
     paragraph of a class that two documents or more share, in runs of MIN_RUN words.
@@ -306,11 +341,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
     chosen = written(classed.select("h", "class_id").join(wide, "class_id"), "chosen")
     members = rows.drop("shingles").join(chosen, "h")
-    inside = Window.partitionBy("doc_id").orderBy("paragraph")
-    runs = members.withColumn("run", F.col("paragraph") - F.dense_rank().over(inside))
     run = Window.partitionBy("doc_id", "run")
     found = written(
-        runs.withColumn("run_words", F.sum("n_words").over(run))
+        in_runs(members).withColumn("run_words", F.sum("n_words").over(run))
         .filter(F.col("run_words") >= MIN_RUN)
         .drop("run", "run_words"),
         "members",

@@ -130,6 +130,35 @@ def test_passages_are_found_wherever_they_stand(spark):
         assert sum(not r.removed for r in found if r.class_id == c) == 1
 
 
+@pytest.mark.parametrize("changed", [0, 1])
+def test_passages_of_just_over_50_words_are_found(spark, changed):
+    draw = random.Random(21 + changed)
+    rows, planted = [], []
+    for n in range(51, 71):
+        for _ in range(10):
+            passage = text(draw, n).split()
+            for copy in range(2):
+                words = list(passage)
+                if copy and changed:
+                    words[n // 2 + draw.randint(-5, 5)] = "changed"
+                planted.append(len(rows))
+                rows.append((len(rows), f"{text(draw, 40)} {' '.join(words)} {text(draw, 40)}"))
+    rows += [(1000 + i, text(draw, 160)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in paragraphs.repeated(df).collect()}
+    assert found <= set(planted) and len(found) >= 0.985 * len(planted)
+
+
+def test_runs_bridge_only_what_two_documents_hold(spark):
+    # Classes 1, 2 stand around a gap in documents 1 and 2; 3, 4 only in document 3.
+    rows = [(1, 0, 1), (1, 2, 2), (2, 5, 1), (2, 6, 9), (2, 7, 2), (3, 0, 3), (3, 2, 4), (3, 9, 1), (3, 20, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, paragraph int, class_id long")
+    runs = {(r.doc_id, r.paragraph): r.run for r in paragraphs.in_runs(df).collect()}
+    assert len(runs) == len(rows) and runs[1, 0] == runs[1, 2]
+    assert runs[2, 5] == runs[2, 6] == runs[2, 7]
+    assert len({runs[3, p] for p in (0, 2, 9, 20)}) == 4
+
+
 def test_near_equal_paragraphs_link_by_jaccard(spark):
     draw = random.Random(6)
     base = text(draw, 30).split()
