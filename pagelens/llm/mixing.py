@@ -129,13 +129,15 @@ def _seed(*names: object) -> random.Random:
     return random.Random(zlib.crc32(repr(names).encode("utf-8", "surrogatepass")))
 
 
-def _fly(key: tuple, frame: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """Fly a block; large documents go first. In the last block of a stratum open units of
-    all sizes stay on the ground, so that the landing can come close."""
+def _fly(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Fly a block; large documents go first. In one block of a stratum open units of all
+    sizes stay on the ground at every level, so that the landing, where the stratum has this
+    block only, can come close."""
+    last = frame["blocks"].iloc[0] == 1
     frame = frame.sort_values(["size", "doc_id", "copy"], ascending=[False, True, True], kind="stable")
     units = list(zip(frame["p"].tolist(), frame["size"].astype(float).tolist(), strict=True))
     open_ = [i for i, (p, _) in enumerate(units) if EDGE < p < 1 - EDGE]
-    ground = {open_[len(open_) * k // LANDING] for k in range(LANDING)} if last and open_ else set()
+    ground = {open_[len(open_) * k // LANDING] for k in range(LANDING)} if key[1] == 0 and open_ else set()
     flown = [i for i in range(len(units)) if i not in ground]
     result = [p for p, _ in units]
     for i, p in zip(flown, flight([units[i] for i in flown], _seed(*key)), strict=True):
@@ -147,7 +149,7 @@ def _fly(key: tuple, frame: pd.DataFrame, last: bool) -> pd.DataFrame:
     return frame.assign(p=result)
 
 
-UNITS = "stratum long, block long, doc_id long, copy long, size long, p double"
+UNITS = "stratum long, block long, blocks long, doc_id long, copy long, size long, p double"
 
 
 def sample(units: DataFrame) -> DataFrame:
@@ -155,11 +157,11 @@ def sample(units: DataFrame) -> DataFrame:
     number of units of the stratum.
 
     Level by level: blocks are flown, their open units gather in fewer blocks, until a
-    stratum has one block, which is landed."""
+    stratum has one block, which is landed: each at its own level, whatever the others."""
 
-    def level(number: int, last: bool):
+    def level(number: int):
         def fly(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            return _fly((int(key[0]), int(key[1]), number), frame, last)
+            return _fly((int(key[0]), int(key[1]), number), frame)
 
         return fly
 
@@ -167,22 +169,20 @@ def sample(units: DataFrame) -> DataFrame:
     here = units.withColumn("blocks", blocks)
     most = here.agg(F.max("blocks")).first()[0] or 0
     rows = here.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy"), "blocks")).select(
-        "stratum", "block", "doc_id", "copy", "size", "p"
+        "stratum", "block", "blocks", "doc_id", "copy", "size", "p"
     )
     done, number, meet = None, 0, BLOCK // KEEP
     while most:
-        last = most == 1
-        flown = written(
-            rows.groupBy("stratum", "block").applyInPandas(level(number, last), UNITS), "flown"
-        )
-        settled = flown if last else flown.filter("p = 0 or p = 1")
+        flown = written(rows.groupBy("stratum", "block").applyInPandas(level(number), UNITS), "flown")
+        settled = flown if most == 1 else flown.filter("p = 0 or p = 1")
         done = settled if done is None else done.union(settled)
-        if last:
+        if most == 1:
             break
-        # Each block leaves at most KEEP open units, so these of `meet` blocks fill one.
+        # Each block leaves at most KEEP open units, so these of `meet` blocks fill one; the
+        # grounded ones come on top in block 0.
         most, number = -(-most // meet), number + 1
-        rows = flown.filter("p > 0 and p < 1").withColumn(
-            "block", F.floor(F.col("block") / meet).cast("long")
+        rows = flown.filter("p > 0 and p < 1").withColumns(
+            {name: f(F.col(name) / meet).cast("long") for name, f in (("block", F.floor), ("blocks", F.ceil))}
         )
     return (rows if done is None else done).select("doc_id", "copy", "p")
 

@@ -172,6 +172,25 @@ def test_levels_meet_in_one_block(spark, monkeypatch):
     assert all(abs(taken[s] - want[s]) < 0.01 * want[s] for s in want)
 
 
+def test_small_sources_beside_a_large_one(spark):
+    draw = np.random.default_rng(12)
+    units, want, most = [], defaultdict(float), {}
+    for stratum, n in enumerate([3000, 20, 50, 100, 200, 300, 500, 700, 1200]):
+        sizes = np.maximum(1, draw.lognormal(5, 1, n)).astype(int)
+        sizes[: max(1, n // 100)] = 2_000
+        p = float(draw.uniform(0.1, 0.9))
+        want[stratum], most[stratum] = p * float(sizes.sum()), n
+        units += [(stratum, n, 10_000 * stratum + i, 1, int(x), p) for i, x in enumerate(sizes)]
+    df = spark.createDataFrame(units, "stratum long, n long, doc_id long, copy long, size long, p double")
+    drawn, got = mixing.sample(df).collect(), defaultdict(float)
+    size = {u[2]: u[4] for u in units}
+    assert len(drawn) == len(units) and {r.p for r in drawn} == {0.0, 1.0}
+    for r in drawn:
+        got[r.doc_id // 10_000] += size[r.doc_id] * r.p
+    miss = {most[s]: abs(got[s] - want[s]) / want[s] for s in want}
+    assert all(miss[n] < (0.01 if n >= 50 else 0.1) for n in miss), miss
+
+
 def test_mix_edge_rows(spark):
     docs = edge.docs(spark)
     rows = mixing.mix(docs.select("doc_id", "source", "text")).collect()
