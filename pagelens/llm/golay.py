@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import small_batches
@@ -65,17 +65,22 @@ def fingerprint(text: str | None) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"]
-        )
+        names = [n for n in batch.schema.names if n != "text"]
+        arrays = [*[batch.column(n) for n in names], pa.array(prints, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of (doc_id, text)."""
+def mark() -> Column:
+    """What tells rows of one doc_id apart: rows of equal text have equal marks."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def fingerprints(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row of (doc_id, text); with `marked` (doc_id, mark, fp)."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *([mark().alias("mark")] if marked else [])]
+    schema = "doc_id long, mark long, fp long" if marked else "doc_id long, fp long"
+    return docs.select(*columns).mapInArrow(_fingerprint_batches, schema)
 
 
 # -- the code ----------------------------------------------------------------------
@@ -193,7 +198,12 @@ def groups(docs: DataFrame) -> DataFrame:
     fingerprint zero and link like any other. A null doc_id never names a component
     unless the component has no other. Repeated rows each give a row.
     """
-    prints = written(fingerprints(docs), "fingerprints")
+    return labelled(written(fingerprints(docs), "fingerprints")).drop("root")
+
+
+def labelled(prints: DataFrame) -> DataFrame:
+    """Written `prints`, rows with fp, with component_id, n_links and root, a fingerprint that
+    names the group whatever its doc_ids."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     pairs = written(links(distinct), "links")
     degree = (
@@ -208,7 +218,7 @@ def groups(docs: DataFrame) -> DataFrame:
         .groupBy("root")
         .agg(F.min("least").alias("component"))
     )
-    named = nodes.join(smallest, "root").select(F.col("node").alias("fp"), "component")
+    named = nodes.join(smallest, "root").select(F.col("node").alias("fp"), "component", "root")
     labels = written(
         distinct.join(named, "fp", "left")  # by fp: rows without a link spread over the tasks
         .join(degree, "fp", "left")
@@ -216,26 +226,32 @@ def groups(docs: DataFrame) -> DataFrame:
             "fp",
             F.coalesce("component", "least").alias("component_id"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.coalesce("root", "fp").alias("root"),
         ),
         "labels",
     )
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "n_links")
+    others = [c for c in prints.columns if c != "fp"]
+    return prints.join(labels, "fp").select(*others, "fp", "component_id", "n_links", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` without near-duplicates: of each group the row of its smallest
-    doc_id. Of rows that repeat that doc_id one stays; which, is settled by their text."""
-    narrow = docs.select("doc_id", "text")
-    grouped = written(groups(narrow), "grouped")
-    chosen = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    counted = written(counted.withColumnRenamed("doc_id", "__id"), "chosen")
+    """Rows of `docs` without near-duplicates: of each group the row of its smallest doc_id,
+    null last. Of rows of that doc_id in the group one stays; which, is settled by their
+    text. Rows of one doc_id, null included, that are in different groups all stay."""
+    prints = written(fingerprints(docs.select("doc_id", "text"), marked=True), "fingerprints")
+    each = labelled(prints).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n")
+    chosen = each.groupBy("root").agg(F.min(order).alias("c"))
+    chosen = written(
+        chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.mark").alias("__mark"), F.col("c.n").alias("__rows")),
+        "chosen",
+    )
     # What is kept grows with the table: it is never sent to all tasks.
-    kept = docs.join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (mark() == F.col("__mark"))
+    kept = docs.join(chosen.hint("merge"), same)
     once = kept.filter("__rows = 1")
-    more = kept.filter("__rows > 1")
-    text = F.coalesce("text", F.lit(""))
-    first = more.groupBy("__id").agg(
-        F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.xxhash64(text))).alias("r")
+    row = F.struct(*docs.columns)
+    first = kept.filter("__rows > 1").groupBy("__id", "__mark").agg(
+        F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")
     )
     return once.select(*docs.columns).union(first.select(*[f"r.{c}" for c in docs.columns]))

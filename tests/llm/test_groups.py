@@ -84,6 +84,14 @@ def test_one_of_each_group_stays(spark):
     assert ids.count(None) == 1
 
 
+def test_rows_of_one_id_in_different_groups_stay(spark):
+    draw = random.Random(31)
+    a, b, c, d, e = (text(draw, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (6, d), (8, c), (None, e), (9, e), (9, e)]
+    kept = golay.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (7, c), (6, d), (9, e)])
+
+
 def test_no_rows(spark):
     none = edge.empty(spark)
     assert golay.groups(none.select("doc_id", "text")).collect() == []
