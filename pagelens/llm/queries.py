@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import archives, golay, host_rules, mixing, nbsvm, oph, packing, paragraphs, pii, toxicity
-from pagelens.llm.common import is_training_row, table
+from pagelens.llm import (
+    archives,
+    bin_completion,
+    fill_in_middle,
+    golay,
+    host_rules,
+    mixing,
+    nbsvm,
+    oph,
+    packing,
+    paragraphs,
+    periodic,
+    pii,
+    toxicity,
+)
+from pagelens.llm.common import is_training_row, table, words
 from pagelens.session import ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +153,68 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find(docs.select("doc_id", _with_periodic_end().alias("text")))
+    best = F.array_sort(
+        "runs",
+        lambda x, y: F.when(x["length"] * y["period"] > y["length"] * x["period"], -1)
+        .when(x["length"] * y["period"] < y["length"] * x["period"], 1)
+        .when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1))
+        .otherwise(F.when(x["period"] < y["period"], -1).otherwise(1)),
+    )
+    line = F.transform(
+        "runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    )
+    listed = F.concat_ws("", F.transform(line, lambda x: F.concat(x, F.lit("\n"))))
+    return found.withColumn("best", F.try_element_at(best, F.lit(1))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _with_periodic_end() -> Column:
+    """One text in ten made periodic from one of its words on, as the crc32 of its id says;
+    a null id has none."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    listed = words(F.col("text"))
+    n = F.size(listed)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    end = F.slice(F.flatten(F.array_repeat(F.slice(listed, a + 1, p), times)), 1, n - a)
+    changed = F.array_join(F.concat(F.slice(listed, 1, a), end), " ")
+    return F.when((h % 10 == 0) & (n > 0), changed).otherwise(F.col("text"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
 LLM_ORACLES["op5_host_rules"] = r"""
 WITH body AS (SELECT doc_id, source, coalesce(text, '') AS b FROM documents),
 split AS (SELECT doc_id, source, b,
@@ -171,3 +247,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (any_failed AND EXISTS (
     SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source)) AS kept
 FROM f"""
+
+
+LLM_ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us,
+    list_transform([1, 9, 17, 25], lambda i: list_reduce(list_transform(range(8), lambda j:
+      CAST(strpos('0123456789abcdef', substr(x, CAST(i + j AS BIGINT), 1)) - 1 AS BIGINT)),
+      lambda a, b: 16 * a + b)) AS hs FROM d),
+f AS (SELECT doc_id, t, us, len(us) AS n,
+    least(hs[1] % (len(us) + 1), hs[2] % (len(us) + 1)) AS a,
+    greatest(hs[1] % (len(us) + 1), hs[2] % (len(us) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(us[1:a], ''), '') AS pre,
+    coalesce(array_to_string(us[a + 1:b], ''), '') AS mid,
+    coalesce(array_to_string(us[b + 1:n], ''), '') AS suf FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p"""
