@@ -7,7 +7,7 @@ tokenizes it, so there is no shuffle.
 Within a block the largest item left opens a sequence, and the branches are the ways to
 complete it: sets of items that fit beside it. A set is dominated, and left out, if its items
 can be spread over the items of another one (that one leaves smaller items for later at no
-loss). Sets come by the room they waste, least first, and of equal waste those of larger items
+loss; a best-fit trial shows most such cases). Sets come by the room they waste, least first, and of equal waste those of larger items
 first, so that a set comes after all that dominate it. They are drawn one at a time, guided by
 the sums that the items left can make.
 
@@ -20,8 +20,8 @@ the lower bound is a best packing.
 The tree of thousands of items cannot be searched to its end, so a large block keeps its
 best-fit packing and the search works on parts of it: the sequences that waste most, enough of
 them to save one, with others drawn beside them. A part that can do with fewer sequences
-is replaced, until PATIENCE parts in a row cannot. A part's search ends after SEARCH branches
-for each of its items; a block small enough to be one part is packed at best, if the search
+is replaced, until PATIENCE parts in a row cannot. A part's search ends after it looked at
+SEARCH sets for each of its items; a block small enough to be one part is packed at best, if the search
 reaches its end before that. These limits choose between packings: every item is in each.
 """
 
@@ -43,7 +43,7 @@ CAPACITY = 1024
 END = 2  # id that closes each document
 BLOCK_TOKENS = 1 << 24
 OUT_PIECES = 2_000  # pieces in a batch that a task hands on
-SEARCH = 4  # branches looked into for each item of a part
+SEARCH = 4  # sets looked at for each item of a part
 PARTS = (20, 60, 200)  # sequences drawn to the wasteful ones of a part, in turn
 PATIENCE = 12
 PIECES = (
@@ -97,23 +97,15 @@ def best_fit(items: list[int], capacity: int) -> list[list[int]]:
 
 
 def dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
-    """Whether the items of `other`, in descending order, fit into the items of `one`."""
-    if sum(one) < sum(other):
-        return False
+    """Whether the items of `other` can be seen to fit into the items of `one` (both descend):
+    each into the smallest that has room for it."""
     rooms = list(one)
-
-    def place(at: int) -> bool:
-        if at == len(other):
-            return True
-        for i, room in enumerate(rooms):
-            if room >= other[at] and room not in rooms[:i]:
-                rooms[i] -= other[at]
-                if place(at + 1):
-                    return True
-                rooms[i] = room
-        return False
-
-    return place(0)
+    for item in other:
+        fitting = [i for i, room in enumerate(rooms) if room >= item]
+        if not fitting:
+            return False
+        rooms[min(fitting, key=rooms.__getitem__)] -= item
+    return True
 
 
 def _sets(sizes: list[int], counts: np.ndarray, least: int, most: int) -> Iterator[tuple[int, ...]]:
@@ -130,37 +122,26 @@ def _sets(sizes: list[int], counts: np.ndarray, least: int, most: int) -> Iterat
             reach[:j] = [mask] * j
             break
 
-    def make(j: int, left: int, used: int) -> Iterator[tuple[int, ...]]:
-        """Sets of sum `left` of sizes from j on, of which `used` of size j are taken."""
+    def make(j: int, left: int) -> Iterator[tuple[int, ...]]:
+        """Sets of sum `left` of sizes from j on; as deep as a set has different sizes."""
         if not left:
             yield ()
-            return
-        while j < len(sizes):
+        while left and reach[j] >> left & 1:
             size = sizes[j]
-            if size <= left and used < counts[size] and _reaches(j, left - size, used + 1):
-                for rest in make(j, left - size, used + 1):
-                    yield (size, *rest)
-            j, used = j + 1, 0
-            if not reach[j] >> left & 1:
-                return
-
-    def _reaches(j: int, left: int, used: int) -> bool:
-        """Whether `left` can be made when `used` items of the j-th size are gone."""
-        size = sizes[j]
-        for more in range(int(counts[size]) - used + 1):
-            if more * size > left:
-                return False
-            if reach[j + 1] >> (left - more * size) & 1:
-                return True
-        return False
+            for taken in range(min(int(counts[size]), left // size), 0, -1):
+                if reach[j + 1] >> (left - taken * size) & 1:
+                    for rest in make(j + 1, left - taken * size):
+                        yield (size,) * taken + rest
+            j += 1
 
     for total in range(most, least - 1, -1):
         if reach[0] >> total & 1:
-            yield from make(0, total, 0)
+            yield from make(0, total)
 
 
-def completions(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
-    """Undominated sets of the items in `counts` that fit into `room`, least waste first.
+def completions(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated sets of the items in `counts` that fit into `room`, least waste first; None
+    for a set that was looked at and left out.
 
     The largest single item that fits dominates every set of no greater sum."""
     sizes = (np.flatnonzero(counts[: room + 1])[::-1]).tolist()
@@ -172,7 +153,9 @@ def completions(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
         return
     known: list[tuple[int, ...]] = []
     for found in _sets(sizes, counts, sizes[0] + 1, room):
-        if not any(dominates(one, found) for one in known):
+        if any(dominates(one, found) for one in known):
+            yield None
+        else:
             known.append(found)
             yield found
     single = (sizes[0],)
@@ -231,9 +214,9 @@ def complete(incumbent: list[list[int]], capacity: int = CAPACITY) -> list[list[
 
     if len(incumbent) > bound:
         open_next()
-    while path and budget:
+    while path and budget > 0:
         take_back()
-        if not tries:  # nothing better near the end: go on further up
+        if tries <= 0:  # nothing better near the end: go on further up
             tries, keep = patience, len(path) - max(1, len(path) // depth)
             depth = depth // 2 if depth > 2 else 16
             while len(path) > max(1, keep):
@@ -241,8 +224,11 @@ def complete(incumbent: list[list[int]], capacity: int = CAPACITY) -> list[list[
                 take_back()
         top = path[-1]
         largest, options, _ = top
-        chosen = next(options, None)
-        budget, tries = budget - 1, tries - 1
+        chosen = None
+        for chosen in options:
+            budget, tries = budget - 1, tries - 1
+            if chosen is not None or budget <= 0:
+                break
         if chosen is None:
             counts[largest] += 1
             path.pop()

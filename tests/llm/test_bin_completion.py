@@ -1,6 +1,7 @@
 """Bin completion against the best packing of small cases, and its query against tokenizers."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -61,7 +62,7 @@ def test_completions_are_all_that_none_dominates():
         counts = np.zeros(room + 3, int)
         for _ in range(draw.randint(0, 7)):
             counts[draw.randint(1, room + 2)] += 1
-        found = list(bin_completion.completions(counts, room))
+        found = [s for s in bin_completion.completions(counts, room) if s is not None]
         sets = {()}
         for size in range(1, room + 1):
             sets |= {tuple(sorted((*s, *[size] * k), reverse=True)) for s in sets for k in range(1, counts[size] + 1)}
@@ -84,6 +85,23 @@ def test_many_items_come_near_the_bound():
     assert bin_completion.pack(items) == bins
 
 
+def test_many_tiny_items():
+    """Thousands of empty texts beside a few long ones: sets of a thousand items each."""
+    for items in ([1] * 3_000, [1] * 2_000 + [700] * 9 + [333] * 7, [2] * 900 + [3] * 900 + [511, 340]):
+        bins = bin_completion.pack(items)
+        assert sorted(x for b in bins for x in b) == sorted(items)
+        assert len(bins) == bin_completion.least_sequences(np.bincount(items, minlength=1025))
+
+
+def test_many_equal_items_end_soon():
+    draw = np.random.default_rng(3)
+    items = [130] * 3_000 + draw.integers(20, 60, 300).tolist() + draw.integers(1, 9, 40).tolist()
+    start = time.process_time()
+    bins = bin_completion.pack(items)
+    assert time.process_time() - start < 20
+    assert sorted(x for b in bins for x in b) == sorted(items)
+
+
 def test_pieces_of_long_documents():
     pieces = bin_completion.place([1, 1024, 1025, 3000, 2048, 5])
     by_doc = defaultdict(list)
