@@ -123,7 +123,10 @@ def _package_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, html, refers_to, revisit): of records with equal payloads of at least
     `min_bytes` the one of the largest page_id is the response. Payloads are equal if their
-    SHA-256 is. Rows repeated under one page_id are one record."""
+    SHA-256 is. Each row is one record: rows repeated under one page_id are alike, and rows of
+    one page_id with different payloads are judged by their own payload (a revisit is then known
+    by page_id and digest together). Null ids have no order and are never the response that
+    others revisit. Columns other than the three are left out, whatever their names."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     marks = rows.select(
@@ -134,10 +137,12 @@ def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     revisits = (
         marks.join(shared, "mark")
         .filter(~F.col("page_id").eqNullSafe(F.col("last")))
-        .select(F.col("page_id").alias("__id"), F.col("last").alias("refers_to"))
+        .select(F.col("page_id").alias("__id"), "mark", F.col("last").alias("refers_to"))
+        .distinct()
     )
     revisits = small_side(revisits, "revisits")  # few as a rule: then no markup is moved
-    found = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("__id")), "left")
+    same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.sha2(body, 256) == F.col("mark"))
+    found = rows.join(revisits, same, "left")
     return found.select(
         "page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit")
     )

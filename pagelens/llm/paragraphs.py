@@ -49,7 +49,8 @@ SIDE_ROWS = 1_000_000  # of 16 bytes: most a broadcast may have
 SEEN = 100_000  # paragraphs a task remembers in order not to band copies again
 
 PARAGRAPHS = (
-    "doc_id long, paragraph int, start int, stop int, n_words int, h long, shingles array<int>"
+    "doc_id long, doc long, paragraph int, start int, stop int, n_words int, h long, "
+    "shingles array<int>"
 )
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd mixing constants
 
@@ -105,18 +106,26 @@ def paragraphs(text: str | None) -> list[tuple[int, int, int, int, np.ndarray]]:
     return out
 
 
+def document_key(doc_id: int | None, text: str) -> int:
+    """What tells documents apart, those without a doc_id or of a shared one too."""
+    named = f"{'' if doc_id is None else doc_id}\0{text}".encode("utf-8", "surrogatepass")
+    return xxhash.xxh3_64_intdigest(named) - (1 << 63)
+
+
 def _paragraph_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PARAGRAPHS.split(", ")]
     for batch in batches:
-        rows: list[list] = [[] for _ in range(6)]
+        rows: list[list] = [[] for _ in range(7)]
         sets, offsets = [np.zeros(0, np.int32)], [0]
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            for number, (start, stop, n, h, own) in enumerate(paragraphs(text.as_py())):
-                for column, value in zip(rows, (key, number, start, stop, n, h), strict=True):
+            text = text.as_py() or ""
+            doc = document_key(key, text)
+            for number, (start, stop, n, h, own) in enumerate(paragraphs(text)):
+                for column, value in zip(rows, (key, doc, number, start, stop, n, h), strict=True):
                     column.append(value)
                 sets.append(own)
                 offsets.append(offsets[-1] + len(own))
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         arrays = [pa.array(r, t) for r, t in zip(rows, types, strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))
         yield pa.RecordBatch.from_arrays([*arrays, lists], names)
@@ -288,24 +297,24 @@ def links(cut_rows: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def in_runs(members: DataFrame) -> DataFrame:
-    """`members` with `run`, which numbers the runs of a document.
+def in_runs(members: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`members` with `run`, which numbers the runs of a document; `key` tells documents apart.
 
     The class before a gap and the one after it bridge it if they stand so in two documents;
     the pairs asked for are those of gaps, and each is one row, however many documents hold
     it."""
-    inside = Window.partitionBy("doc_id").orderBy("paragraph")
+    inside = Window.partitionBy(key).orderBy("paragraph")
     earlier = [F.max("class_id").over(inside.rangeBetween(-o, -o)) for o in range(1, REACH + 1)]
     placed = written(members.withColumn("earlier", F.array(*earlier)), "placed")
     gap = F.when(F.col("earlier")[0].isNull(), F.coalesce(*[F.col("earlier")[o] for o in range(1, REACH)]))
     asked = placed.select(gap.alias("a"), F.col("class_id").alias("b")).filter("a is not null").distinct()
     asked = small_side(asked, "gaps", SIDE_ROWS)
-    pairs = placed.select("doc_id", F.explode("earlier").alias("a"), F.col("class_id").alias("b"))
+    pairs = placed.select(key, F.explode("earlier").alias("a"), F.col("class_id").alias("b"))
     bridges = (
         pairs.filter("a is not null")
         .join(asked, ["a", "b"], "left_semi")
         .groupBy("a", "b")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .agg(F.min(key).alias("low"), F.max(key).alias("high"))
         .filter("low <> high")
         .select(F.col("a").alias("__a"), F.col("b").alias("__b"))
     )
@@ -320,44 +329,49 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, stop, n_words, class_id, class_doc, removed): every
     paragraph of a class that two documents or more share, in runs of MIN_RUN words.
 
-    class_doc is the smallest doc_id of the class; its first paragraph stays, the others
-    are marked removed. Null and empty texts and texts of fewer than five words have no
-    paragraphs. Rows repeated under one doc_id are one document. An empty table gives an
-    empty result."""
+    class_doc is the smallest doc_id of the class; the first paragraph of the first document
+    stays, the others are marked removed. Documents stand by doc_id, those without one last.
+    A document is a doc_id with its text: repeated rows are one document, listed once; rows of
+    one doc_id with different texts, or of no doc_id, are documents of their own, and class_doc
+    is null where no document of a class has an id. Null and empty texts and texts of fewer
+    than five words have no paragraphs; of very long ones all paragraphs are compared. An empty
+    table gives an empty result. Columns other than the two are not read, whatever their
+    names."""
     rows = written(cut(docs), "paragraphs")
     nodes = written(components(written(links(rows), "links")), "classes")
-    shared = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = rows.groupBy("h").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("doc_id").alias("least")
+    )
     classed = written(
         shared.join(nodes.withColumnRenamed("node", "h"), "h", "left")
         .filter("root is not null or low <> high")
-        .select("h", F.coalesce("root", "h").alias("class_id"), "low", "high"),
+        .select("h", F.coalesce("root", "h").alias("class_id"), "low", "high", "least"),
         "classed",
     )
     wide = (
         classed.groupBy("class_id")
-        .agg(F.min("low").alias("class_doc"), F.max("high").alias("last"))
-        .filter("class_doc <> last")
-        .drop("last")
+        .agg(F.min("least").alias("class_doc"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .filter("low <> high")
+        .drop("low", "high")
     )
     chosen = written(classed.select("h", "class_id").join(wide, "class_id"), "chosen")
-    members = rows.drop("shingles").join(chosen, "h")
-    run = Window.partitionBy("doc_id", "run")
+    members = rows.drop("shingles").join(chosen, "h").dropDuplicates(["doc", "paragraph"])
+    run = Window.partitionBy("doc", "run")
     found = written(
-        in_runs(members).withColumn("run_words", F.sum("n_words").over(run))
+        in_runs(members, "doc").withColumn("run_words", F.sum("n_words").over(run))
         .filter(F.col("run_words") >= MIN_RUN)
         .drop("run", "run_words"),
         "members",
     )
+    here = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "doc", "paragraph")
     first = found.groupBy("class_id").agg(
-        F.min(F.struct("doc_id", "paragraph")).alias("first"),
-        F.max("doc_id").alias("last"),
+        F.min(here).alias("first"), F.min("doc").alias("low"), F.max("doc").alias("high")
     )
-    here = F.struct("doc_id", "paragraph")
+    stays = (F.col("doc") == F.col("first.doc")) & (F.col("paragraph") == F.col("first.paragraph"))
     return (
-        found.join(first, "class_id")
-        .filter(F.col("first.doc_id") != F.col("last"))
+        found.join(first.filter("low <> high"), "class_id")
         .select(
             "doc_id", "paragraph", "start", "stop", "n_words", "class_id", "class_doc",
-            (here != F.col("first")).alias("removed"),
+            (~stays).alias("removed"),
         )
     )

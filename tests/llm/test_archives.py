@@ -97,3 +97,19 @@ def test_null_and_repeated_page_ids(spark):
     assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [
         (0, "revisit", 1), (1, "response", 0), (1, "response", 0), (2, "response", 0),
     ]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_repeated_ids_that_share_payloads(spark, monkeypatch, broadcast):
+    if not broadcast:  # the way taken when many pages are copies
+        monkeypatch.setattr(archives, "small_side", lambda df, name: archives.written(df, name))
+    pairs = [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (3, "zzz"), (4, "b"), (None, "a"), (None, "a"), (None, "own")]
+    pages = spark.createDataFrame([(i, "u", h, "", "") for i, h in pairs], PAGES)
+    decided = archives.decide(pages).select("page_id", "html", "revisit", "refers_to").collect()
+    assert sorted(map(str, map(tuple, decided))) == sorted(map(str, [
+        (1, "a", True, 2), (1, "a", True, 2), (2, "a", False, None), (3, "b", True, 4), (3, "zzz", False, None),
+        (4, "b", False, None), (None, "a", True, 2), (None, "a", True, 2), (None, "own", False, None),
+    ]))
+    got = archives.round_trip(pages).collect()
+    assert len(got) == len(pairs)
+    assert sum(r.record_type == "response" for r in got) == 4

@@ -221,5 +221,32 @@ def test_edge_rows(spark):
     assert {r.doc_id for r in found} == {5, 6}
 
 
+def test_passages_shared_with_documents_without_ids(spark):
+    draw = random.Random(41)
+    shared, alone = text(draw, 80), text(draw, 90)
+    around = [text(draw, 30) for _ in range(8)]
+    texts = [f"{a} {shared} {b}" for a, b in zip(around[::2], around[1::2], strict=True)]
+
+    def marked(rows):
+        found = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        for c in {r.class_id for r in found}:
+            assert sum(not r.removed for r in found if r.class_id == c) == 1
+        return found
+
+    with_ids = marked([(1, texts[0]), (2, texts[1]), (9, alone)])
+    a_class = len({r.class_id for r in with_ids})
+    assert a_class > 4 and len(with_ids) == 2 * a_class
+    one_null = marked([(1, texts[0]), (2, texts[1]), (None, texts[2]), (9, alone)])
+    # Paragraphs at the edges of the passage depend on what stands around it.
+    assert all(sum(r.doc_id == i for r in one_null) >= a_class - 1 for i in (1, 2, None))
+    assert {r.class_doc for r in one_null} == {1}
+    assert {r.doc_id for r in one_null if not r.removed} == {1}
+    nulls = marked([(None, texts[0]), (None, texts[1]), (None, texts[1])])
+    assert len(nulls) == 2 * a_class and {r.class_doc for r in nulls} == {None}
+    one_id = marked([(5, texts[0]), (5, texts[1]), (5, texts[0]), (5, alone)])
+    assert len(one_id) == 2 * a_class and {r.class_doc for r in one_id} == {5}
+    assert marked([(5, texts[0]), (5, texts[0])]) == []
+
+
 def test_query_names():
     assert [n for n in LLM_QUERIES if n.startswith("op8_")]
