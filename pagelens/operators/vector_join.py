@@ -79,8 +79,12 @@ def fold_copies(vectors: DataFrame, name: str = "vectors") -> VectorSet:
 
 
 def _pivots(vs: VectorSet) -> np.ndarray:
-    """Up to MAX_PIVOTS vectors, picked by the hash of their id: a bounded matrix."""
-    wanted = max(1, min(MAX_PIVOTS, round(math.sqrt(vs.count))))
+    """Up to MAX_PIVOTS vectors, picked by the hash of their id: a bounded matrix.
+
+    Cells hold about half a block. Smaller ones would not save a product, but a row is sent
+    to every cell that may hold a partner of it, and where vectors form no clusters
+    that is nearly every cell."""
+    wanted = max(1, min(MAX_PIVOTS, math.ceil(2 * vs.count / BLOCK_ROWS)))
     rows = vs.distinct.orderBy(F.xxhash64("id"), "id").limit(wanted).select("unit").collect()
     return np.array([row.unit for row in rows], dtype=float)
 
@@ -185,8 +189,9 @@ def _in_blocks(placed: DataFrame, ordered: bool) -> DataFrame:
 def _compare(
     placed: DataFrame, pick: Callable, schema: str, ordered: bool = True, local: bool = False
 ) -> DataFrame:
-    """Run `pick(left, right, same block)` on the two blocks of every group."""
-    blocks = _in_blocks(placed, ordered)
+    """Run `pick(left, right, same block)` on the two blocks of every group. The placed rows
+    are read twice, for the sizes of the cells and for the groups, so they are written."""
+    blocks = _in_blocks(written(placed, "placed"), ordered)
     if local:
         blocks = blocks.where("i = j")
     names = [field.split()[0] for field in schema.split(", ")]
@@ -409,6 +414,43 @@ def nearest(vectors: DataFrame, k: int = 15) -> DataFrame:
     return _with_copies(vs, near, k)
 
 
+def column_ranges(vectors: DataFrame) -> DataFrame:
+    """(b, lo, hi): the least and greatest cosine of every id with all ids, itself included:
+    the range of its column in the full matrix, without the matrix.
+
+    The least cosine is that of the farthest vector. Every pivot is a vector, so the farthest
+    one is at least as far as the farthest pivot; a cell whose far end (distance of its
+    pivot plus the greatest distance in it) is nearer than that is not visited. The greatest
+    cosine is the diagonal, 1. A zero vector has cosine 0 with all, itself too, and counts so
+    in the columns of the others; a null vector has no column.
+    """
+    vs = fold_copies(vectors, "ranges")
+    pivots = _pivots(vs)
+    zeros = vectors.where("vector is not null").where(unit(F.col("vector")).isNull())
+    _, reach = _cell_summaries(vs, pivots, 1) if vs.count else (None, np.zeros(0))
+
+    def visits(to_pivot, home, least):
+        farthest = to_pivot.max(axis=1)[:, None]
+        return (to_pivot + reach[None, :] >= farthest - _SLACK) & np.isfinite(reach)[None, :]
+
+    def pick(home, guest, same):
+        return guest.ids, (guest.units @ home.units.T).min(axis=1)
+
+    schema = f"id {vs.id_type}, similarity double"
+    ends = vs.distinct.sparkSession.createDataFrame([], schema)
+    if vs.count:
+        ends = _compare(_spread(vs, pivots, visits), pick, schema, ordered=False)
+    lowest = ends.groupBy("id").agg(F.min("similarity").alias("lo"))
+    with_zero = F.lit(not zeros.isEmpty())
+    low = F.when(with_zero, F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))
+    known = vs.members.join(lowest, vs.members["rep"] == lowest["id"]).select(
+        vs.members["id"].alias("b"), low.alias("lo"), F.lit(1.0).alias("hi")
+    )
+    return known.unionByName(
+        zeros.select(F.col("id").alias("b"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
+    )
+
+
 def _kth_sum(to_pivot: np.ndarray, close: np.ndarray, k: int) -> np.ndarray:
     """Distance within which each row surely has k + 1 vectors, going through a pivot."""
     through = (to_pivot[:, :, None] + close[None, :, :]).reshape(len(to_pivot), -1)

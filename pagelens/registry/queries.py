@@ -22,6 +22,7 @@ from pagelens.operators import (
     scaling,
     structure,
     summary,
+    vector_index,
     vector_join,
     weblog,
 )
@@ -683,6 +684,12 @@ def similar_vectors(spark, sf):
     return rounded(out, 9, "similarity", "distance")
 
 
+@query
+def very_similar_vectors(spark, sf):
+    """Visual lens: every pair of the band of very similar pages, cosine of at least 0.8."""
+    return rounded(vector_join.similar_pairs(inputs.vectors(spark, sf), 0.8), 9, "similarity")
+
+
 @query
 def similar_structural_vectors(spark, sf):
     """Structural lens: every pair of scaled feature vectors with cosine of at least 0.95."""
@@ -711,21 +718,41 @@ def listed_lens_pairs(spark, sf) -> tuple[DataFrame, DataFrame]:
     return written(structural, "structural-pairs"), visual
 
 
+def blended_lenses(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with the diagonals, and the ranges of the whole structural columns."""
+    structural, visual = listed_lens_pairs(spark, sf)
+    vectors = structural_vectors(spark, sf)
+    return (
+        blend.with_diagonal(structural, vectors),
+        blend.with_diagonal(visual, inputs.vectors(spark, sf)),
+        vector_join.column_ranges(vectors),
+    )
+
+
 @query
 def column_min_max(spark, sf):
-    return rounded(blend.column_min_max(visual_pairs(spark, sf)), 6, "similarity")
+    """Visual pairs and the diagonal, scaled by the range of the whole column."""
+    vectors = inputs.vectors(spark, sf)
+    pairs = blend.with_diagonal(visual_pairs(spark, sf), vectors)
+    return rounded(blend.column_min_max(pairs, vector_join.column_ranges(vectors)), 6, "similarity")
+
+
+@query
+def column_ranges(spark, sf):
+    """Least and greatest similarity of each column of the structural lens."""
+    return rounded(vector_join.column_ranges(structural_vectors(spark, sf)), 6, "lo", "hi")
 
 
 @query
 def weighted_blend(spark, sf):
-    structural, visual = listed_lens_pairs(spark, sf)
-    return rounded(blend.weighted_blend(structural, visual, (0.7, 0.3)), 6, "similarity")
+    structural, visual, ranges = blended_lenses(spark, sf)
+    return rounded(blend.weighted_blend(structural, visual, (0.7, 0.3), ranges), 6, "similarity")
 
 
 @query
 def weight_sweep(spark, sf):
-    structural, visual = listed_lens_pairs(spark, sf)
-    return rounded(blend.weight_sweep(structural, visual), 6, "similarity")
+    structural, visual, ranges = blended_lenses(spark, sf)
+    return rounded(blend.weight_sweep(structural, visual, ranges), 6, "similarity")
 
 
 @query
@@ -851,6 +878,27 @@ def nearest_neighbours(spark, sf):
     return rounded(found, 6, "similarity")
 
 
+def searched(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Neighbours of every hundredth vector: by the index, and exact."""
+    vectors = inputs.vectors(spark, sf)
+    asked = vectors.where("id % 100 = 0")
+    found = vector_index.search(vector_index.fit(vectors, 15), asked, 15)
+    return found, vector_index.exact(vectors, asked, 15)
+
+
+@query
+def approximate_neighbours(spark, sf):
+    """What the index finds for every hundredth vector: exact scores of approximate neighbours."""
+    return rounded(searched(spark, sf)[0], 6, "similarity")
+
+
+@query
+def neighbour_index_recall(spark, sf):
+    """Share of the exact neighbours of every hundredth vector that the index finds."""
+    measured = vector_index.recall(*searched(spark, sf))
+    return measured.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query
 def principal_components(spark, sf):
     return rounded(project.pca_2d(structural_vectors(spark, sf)), 6, "x", "y")
