@@ -12,15 +12,11 @@ back only the pairs that can still reach the score.
 
 from __future__ import annotations
 
-import difflib
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pagelens.functions.barrier import settled
 from pagelens.operators.features import (
     FORM_TAGS,
     SEQUENCE_COMPARED,
@@ -31,8 +27,10 @@ from pagelens.operators.features import (
     long_size,
     tags,
 )
+from pagelens.operators.matching import with_ratios
+from pagelens.operators.set_join import alike_counts, similar_sets
 from pagelens.operators.vector_join import candidate_pairs
-from pagelens.session import shuffle_width, written
+from pagelens.session import written
 
 # Weights of the sequence term and of the pattern term; the others weigh 1.
 SEQUENCE_WEIGHT = 2.0
@@ -54,14 +52,25 @@ STRUCTURE = ["seq", "counts", "unique_classes", "unique_ids", *FORM_COUNTS, "pat
 # -- signatures --------------------------------------------------------------------
 
 
-def tally(names: Column) -> Column:
-    """Occurrences of each name of an array, as (tag, n) in name order."""
-    return F.transform(
-        F.array_sort(F.array_distinct(names)),
-        lambda name: F.struct(
-            name.alias("tag"), long_size(F.filter(names, lambda t: t == name)).alias("n")
+def with_tally(rows: DataFrame, names: str, name: str = "counts") -> DataFrame:
+    """`rows` with (tag, n) of each name of an array, in name order. The names are sorted once;
+    a name's run in that order is its count."""
+    starts = F.filter(
+        F.transform("__sorted", lambda tag, i: F.struct(tag.alias("tag"), i.alias("at"))),
+        lambda e, i: (i == 0) | (F.get("__sorted", i - 1) != e["tag"]),
+    )
+    counted = F.transform(
+        "__starts",
+        lambda e, i: F.struct(
+            e["tag"],
+            (F.coalesce(F.get("__starts", i + 1)["at"], F.size("__sorted")) - e["at"])
+            .cast("bigint")
+            .alias("n"),
         ),
     )
+    step = rows.withColumn("__sorted", settled(F.sort_array(names)))
+    step = step.withColumn("__starts", settled(starts)).withColumn(name, settled(counted))
+    return step.drop("__sorted", "__starts")
 
 
 def page_structures(parsed: DataFrame, *keep: str) -> DataFrame:
@@ -75,11 +84,11 @@ def page_structures(parsed: DataFrame, *keep: str) -> DataFrame:
         F.array_sort(F.array_distinct(id_class_patterns())).alias("patterns"),
     )
     tag_array = F.col("tags")
-    described = flat.select(
+    described = with_tally(flat, "tags").select(
         "page_id",
         *keep,
         F.slice(tag_array, 1, SEQUENCE_COMPARED).alias("seq"),
-        tally(tag_array).alias("counts"),
+        "counts",
         long_size(F.array_distinct("classes")).alias("unique_classes"),
         long_size(F.array_distinct("ids")).alias("unique_ids"),
         *[count_of(tag_array, tag).alias(f"{tag}_count") for tag in FORM_TAGS],
@@ -178,21 +187,6 @@ def normalised(score: Column, tag: Column, pattern: Column) -> Column:
     return score * terms / weight
 
 
-@lru_cache(maxsize=50_000)
-def _ratio(left: tuple, right: tuple) -> float:
-    return difflib.SequenceMatcher(None, left, right).ratio()
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-blocks ratio 2M/T of two tag sequences. It depends on the order of its
-    arguments. Sequences repeat across pages, so the ratios of a task are remembered."""
-    pairs = zip(left, right, strict=True)
-    return pd.Series(
-        [_ratio(tuple(x), tuple(y)) for x, y in pairs], index=left.index, dtype="float64"
-    )
-
-
 # -- the joins ---------------------------------------------------------------------
 
 
@@ -221,7 +215,7 @@ def similar_structures(sigs: DataFrame, min_score: float = 1.2) -> DataFrame:
     (5 min_score - 4.5) / 2. The ratio is at most the Dice overlap of the tag multisets,
     and that is at most the cosine of the vectors of numbered tags (`p#1`, `p#2`, ...).
     So a cosine join on these finds every pair; its tasks also bound the whole score from
-    the counts, and only pairs that can reach it go to the Python matcher.
+    the counts, and only pairs that can reach it go to the matcher.
 
     A row stands for `page_pairs` pairs of pages; a = b stands for the pages of one
     signature among themselves.
@@ -241,20 +235,20 @@ def similar_structures(sigs: DataFrame, min_score: float = 1.2) -> DataFrame:
         with_lookup(sigs.drop("structure")).withColumn("tokens", numbered), "signatures"
     )
     met = candidate_pairs(_shapes(base), min(needed, 1.0) - 1e-9, _can_reach(min_score))
-    payload = F.struct(*[c for c in base.columns if c != "tokens"])
+    ratios = with_ratios(met, base.select(F.col("sig").alias("id"), "seq"))
+    # What else the score reads joins only pairs whose ratio can still reach it.
+    able = ratios.where(F.greatest("seq_ab", "seq_ba") >= needed - 1e-9)
+    payload = F.struct(*[c for c in base.columns if c not in ("tokens", "seq")])
     one = base.select(F.col("sig").alias("a"), payload.alias("one"))
     two = base.select(F.col("sig").alias("b"), payload.alias("two"))
-    pairs = met.join(one, "a").join(two, "b")
-    # The matcher is the costly step: spread its pairs evenly.
-    pairs = pairs.repartition(shuffle_width(pairs), "a", "b")
-    scored = pairs.select(
+    scored = able.join(one, "a").join(two, "b").select(
         "a",
         "b",
         F.col("one.pages").alias("pages_a"),
         F.col("two.pages").alias("pages_b"),
         (F.col("one.pages") * F.col("two.pages")).alias("page_pairs"),
-        sequence_ratio("one.seq", "two.seq").alias("seq_ab"),
-        sequence_ratio("two.seq", "one.seq").alias("seq_ba"),
+        "seq_ab",
+        "seq_ba",
         *[term.alias(name) for name, term in _other_terms(F.col("one"), F.col("two")).items()],
     )
     alone = base.where("pages > 1").select(
@@ -370,26 +364,31 @@ def with_scores(terms: DataFrame) -> DataFrame:
 
 def score_listed(pairs: DataFrame, structures: DataFrame) -> DataFrame:
     """All terms and scores of listed page pairs (a, b)."""
-    row = F.struct(*STRUCTURE, "tag_map", "square")
+    row = F.struct(*[c for c in STRUCTURE if c != "seq"], "tag_map", "square")
     looked_up = with_lookup(structures)
     left = looked_up.select(F.col("page_id").alias("a"), row.alias("x"))
     right = looked_up.select(F.col("page_id").alias("b"), row.alias("y"))
-    joined = pairs.join(left, "a").join(right, "b")
-    x, y = F.col("x"), F.col("y")
-    terms = joined.select(
+    ratios = with_ratios(pairs, structures.select(F.col("page_id").alias("id"), "seq"))
+    terms = ratios.join(left, "a").join(right, "b").select(
         *pairs.columns,
-        sequence_ratio(x["seq"], y["seq"]).alias("seq_ab"),
-        sequence_ratio(y["seq"], x["seq"]).alias("seq_ba"),
-        *[term.alias(name) for name, term in _other_terms(x, y).items()],
+        "seq_ab",
+        "seq_ba",
+        *[term.alias(name) for name, term in _other_terms(F.col("x"), F.col("y")).items()],
     )
     return with_scores(terms)
 
 
+def similar_patterns(structures: DataFrame, least: float = 0.8) -> DataFrame:
+    """Every pair of distinct id and class pattern sets with a Jaccard similarity of at least
+    `least`; pages without patterns have no term and take no part."""
+    return similar_sets(structures.select(F.col("page_id").alias("id"), "patterns"), "patterns", least)
+
+
 # -- the tag-count lens ------------------------------------------------------------
 
 
 def page_tag_counts(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", tally(tags()).alias("counts"))
+    return with_tally(parsed.select("page_id", tags().alias("tags")), "tags").select("page_id", "counts")
 
 
 def tag_groups(counted: DataFrame) -> DataFrame:
@@ -406,18 +405,14 @@ def group_membership(counted: DataFrame, groups: DataFrame) -> DataFrame:
 def similar_tag_counts(groups: DataFrame, min_similarity: float) -> DataFrame:
     """Every pair of tag-count groups with cosine of at least `min_similarity` (> 0).
 
-    A cosine join on the counts of the most frequent tags, all others as one length, finds
-    every pair; the similarity itself comes from the whole counts. A row stands for
+    An inverted index of the tags that can decide finds every pair (`set_join`); the
+    similarity itself comes from the whole counts. A row stands for
     `page_pairs` pairs of pages; a = b stands for the pages of one group among themselves.
     """
     if min_similarity <= 0:
         raise ValueError("min_similarity must be above 0, or no pair can be ruled out")
     base = written(with_lookup(groups), "tag-counts")
-    names = frequent_names(base, F.map_keys("tag_map"), TOKEN_PLACES)
-    vectors = base.select(
-        F.col("sig").alias("id"), count_vector(names, F.col("square")).alias("vector")
-    )
-    met = candidate_pairs(vectors, min_similarity - 1e-9)
+    met = alike_counts(base.select(F.col("sig").alias("id"), "counts"), min_similarity)
     payload = F.struct("pages", "counts", "tag_map", "square")
     one = base.select(F.col("sig").alias("a"), payload.alias("one"))
     two = base.select(F.col("sig").alias("b"), payload.alias("two"))

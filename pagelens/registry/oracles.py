@@ -377,7 +377,7 @@ long_counts AS (SELECT {key} AS k, unnest(counts, recursive := true) FROM {table
 lengths AS (SELECT k, sqrt(sum(n * n)) AS len FROM long_counts GROUP BY k)"""
 
 
-def tag_pairs(pages: str, base: str | None = None) -> str:
+def tag_pairs(pages: str, base: str | None = None, limit: float = TAG_LIMIT) -> str:
     """CTEs up to `tagalike`: distinct tag counts with cosine above the limit."""
     return f"""{base or tokens(pages)},
 counted AS (SELECT page_id, list(struct_pack(tag := tag, n := n) ORDER BY tag) AS counts
@@ -390,7 +390,7 @@ tagalike AS (
   SELECT d.a, d.b, {big('x.pages * y.pages')} AS page_pairs, d.dot / (p.len * q.len) AS tag_sim
   FROM dots d JOIN lengths p ON p.k = d.a JOIN lengths q ON q.k = d.b
   JOIN groups x ON x.sig = d.a JOIN groups y ON y.sig = d.b
-  WHERE d.dot / (p.len * q.len) >= {TAG_LIMIT}
+  WHERE d.dot / (p.len * q.len) >= {limit}
   UNION ALL
   SELECT sig, sig, {big('pages * (pages - 1) // 2')}, 1.0 FROM groups WHERE pages > 1)"""
 
@@ -781,6 +781,15 @@ WHERE NOT EXISTS (SELECT 1 FROM cache k
 SELECT sig, pages, array_to_string(seq, ',') AS seq, unique_classes, unique_ids FROM sigs""",
     "similar_tag_counts": f"""WITH {tag_pairs(DRESSED)}
 SELECT a, b, page_pairs, round(tag_sim, 9) AS tag_sim FROM tagalike""",
+    "fairly_similar_tag_counts": f"""WITH {tag_pairs(DRESSED, limit=0.9)}
+SELECT a, b, page_pairs, round(tag_sim, 9) AS tag_sim FROM tagalike""",
+    "similar_patterns": f"""WITH {structures_sql(DRESSED)},
+held AS (SELECT min(page_id) AS id, count(*) AS pages, pats FROM struct WHERE len(pats) > 0 GROUP BY pats),
+alike AS (SELECT x.id AS a, y.id AS b, x.pages * y.pages AS page_pairs,
+    len(list_intersect(x.pats, y.pats)) / len(list_distinct(list_concat(x.pats, y.pats))) AS jaccard
+  FROM held x JOIN held y ON x.id < y.id
+  UNION ALL SELECT id, id, pages * (pages - 1) // 2, 1.0 FROM held WHERE pages > 1)
+SELECT a, b, {big('page_pairs')} AS page_pairs, round(jaccard, 9) AS jaccard FROM alike WHERE jaccard >= 0.8""",
     "listed_pair_terms": f"""WITH {NEXT_PAIRS}
 SELECT d.a, d.b, round(d.dot / (p.len * q.len), 9) AS tag_sim, round(css_sim, 9) AS css_sim,
   round(form_sim, 9) AS form_sim, round(pattern_sim, 9) AS pattern_sim

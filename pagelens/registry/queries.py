@@ -42,6 +42,8 @@ QUERIES: dict[str, Query] = {}
 VISUAL_LIMIT = 0.3
 STRUCTURAL_LIMIT = 0.95
 TAG_LIMIT = 0.99
+WIDE_TAG_LIMIT = 0.9
+PATTERN_LIMIT = 0.8
 SCORE_LIMIT = 1.2
 DRESSED_SCORE_LIMIT = 1.27
 SCORE_COLUMNS = [
@@ -652,6 +654,20 @@ def similar_tag_counts(spark, sf):
     return rounded(structure.similar_tag_counts(groups, TAG_LIMIT), 9, "tag_sim")
 
 
+@query
+def fairly_similar_tag_counts(spark, sf):
+    """Every pair of distinct tag counts with a cosine of at least 0.9."""
+    groups = structure.tag_groups(structure.page_tag_counts(inputs.dressed(spark, sf, ("tag",))))
+    return rounded(structure.similar_tag_counts(groups, WIDE_TAG_LIMIT), 9, "tag_sim")
+
+
+@query
+def similar_patterns(spark, sf):
+    """Every pair of distinct id and class pattern sets with a Jaccard similarity of 0.8."""
+    structures = structure.page_structures(inputs.dressed(spark, sf, structure.SIGNATURE_FIELDS))
+    return rounded(structure.similar_patterns(structures, PATTERN_LIMIT), 9, "jaccard")
+
+
 @query
 def listed_pair_terms(spark, sf):
     """Terms of each page paired with the page after it, and which of them are present."""
