@@ -539,6 +539,12 @@ def mean_sql(table: str) -> str:
 
 # -- interactive elements ----------------------------------------------------------
 
+INTAKE = f"""WITH {source(GIVEN)},
+shown AS (SELECT * FROM (SELECT page_id AS id, {clean_text('t')} AS text FROM texts) WHERE text <> ''),
+{hashed_words_sql('shown', 16)}
+SELECT id AS page_id, 'offline' AS model, md5(text) AS content_hash, dim, round(value, 6) AS value
+FROM shown JOIN hashed USING (id)"""
+
 INTERACTIVE = rf"""{source(DRESSED)},
 cut AS (SELECT page_id, regexp_extract_all(h, '<[^>]*>') AS l,
     regexp_split_to_array(h, '<[^>]*>') AS seg FROM clean),
@@ -984,9 +990,10 @@ SELECT name, arg_max(value, ts) AS value, max(ts) AS ts FROM timed GROUP BY name
     "streamed_last_values": """SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type,
   arg_max(value, ts) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id""",
     "streamed_seen_urls": f"SELECT DISTINCT {HOST} AS host FROM pages",
-    "streamed_page_intake": f"""WITH {source(GIVEN)},
-shown AS (SELECT * FROM (SELECT page_id AS id, {clean_text('t')} AS text FROM texts) WHERE text <> ''),
-{hashed_words_sql('shown', 16)}
-SELECT id AS page_id, 'offline' AS model, md5(text) AS content_hash, dim, round(value, 6) AS value
-FROM shown JOIN hashed USING (id)""",
+    "streamed_page_intake": INTAKE,
+    "streamed_html_folder": INTAKE,
+    "throttled_page_intake": f"""WITH {source(GIVEN)}
+SELECT count(*) AS pages, true AS pauses_kept FROM texts WHERE {clean_text('t')} <> ''""",
+    "html_folder_pages": """SELECT page_id, length(h) AS chars, md5(h) AS digest
+FROM (SELECT page_id, regexp_replace(html, '\r\n?', chr(10), 'g') AS h FROM pages)""",
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions import labels as labels_fn
@@ -44,6 +45,8 @@ STRUCTURAL_LIMIT = 0.95
 TAG_LIMIT = 0.99
 WIDE_TAG_LIMIT = 0.9
 PATTERN_LIMIT = 0.8
+INTAKE_FILES = 4
+PAUSE = 2  # seconds between the batches of the throttled intake
 SCORE_LIMIT = 1.2
 DRESSED_SCORE_LIMIT = 1.27
 SCORE_COLUMNS = [
@@ -981,17 +984,19 @@ def streamed_seen_urls(spark, sf):
 
 @query
 def streamed_page_intake(spark, sf):
-    """Pages taken in as a stream of files, one per batch: texts embedded and cached under
-    page, model and hash. A file of outdated versions of some pages comes first."""
+    """Pages taken in as a stream of files, several a batch: texts embedded and cached under
+    page, model and hash. Files of outdated versions of some pages come first."""
     pages = read_table(spark, sf, "pages").select("page_id", "html")
     folder, root = scratch_path(spark, "intake-pages"), scratch_path(spark, "intake")
     outdated = pages.where("page_id % 3 = 0").withColumn("html", F.concat(F.lit("old "), "html"))
-    outdated.coalesce(1).write.mode("append").parquet(folder)
-    for part in range(2):
-        own = pages.where(F.pmod("page_id", F.lit(2)) == part)
-        own.coalesce(1).write.mode("append").parquet(folder)
-    stream = intake.page_stream(spark, folder, pages.schema, files_per_trigger=1)
+    for part in (outdated, *[pages.where(F.pmod("page_id", F.lit(2)) == n) for n in range(2)]):
+        part.repartition(INTAKE_FILES, "page_id").write.mode("append").parquet(folder)
+    stream = intake.page_stream(spark, folder, pages.schema, files_per_trigger=INTAKE_FILES)
     intake.start_intake(stream, root, embed.hashed_words(16)).awaitTermination()
+    return cached_values(spark, root)
+
+
+def cached_values(spark, root: str) -> DataFrame:
     cached = cache_source.load_cache(spark, root)
     return cached.select(
         "page_id", "model", "content_hash", F.posexplode("embedding").alias("dim", "value")
@@ -999,3 +1004,62 @@ def streamed_page_intake(spark, sf):
         "page_id", "model", "content_hash",
         F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"),
     )
+
+
+def page_of_path() -> Column:
+    return F.regexp_extract("path", "page_id=([^/]*)/", 1).cast("bigint")
+
+
+def markup_folder(spark, sf) -> str:
+    """The given pages as a crawl leaves them: a folder for each, with a file of markup."""
+    folder = scratch_path(spark, "markup")
+    read_table(spark, sf, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy(
+        "page_id"
+    ).text(folder)
+    return folder
+
+
+@query
+def html_folder_pages(spark, sf):
+    """Markup files read strictly: the page of each, its size and digest. The line end that the
+    file ends with is left out."""
+    found = folders.html_folder(spark, markup_folder(spark, sf), "*.txt", page_of_path())
+    html = F.substring("html", F.lit(1), F.length("html") - 1)
+    return found.select(
+        "page_id",
+        F.length(html).cast("bigint").alias("chars"),
+        F.md5(html).alias("digest"),
+    )
+
+
+@query
+def streamed_html_folder(spark, sf):
+    """A folder of markup files as a stream of three batches, embedded and cached."""
+    folder, root = markup_folder(spark, sf), scratch_path(spark, "html-intake")
+    count = read_table(spark, sf, "pages").count()
+    stream = intake.html_stream(spark, folder, "*.txt", -(-count // 3) or 1, page_of_path())
+    intake.start_intake(stream, root, embed.hashed_words(16)).awaitTermination()
+    return cached_values(spark, root)
+
+
+@query
+def throttled_page_intake(spark, sf):
+    """The intake with a pause between batches of one file each: pages cached, and whether
+    no batch began before its pause was over."""
+    folder, root = scratch_path(spark, "paced-pages"), scratch_path(spark, "paced")
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    pages.repartition(3, "page_id").write.parquet(folder)
+    stream = intake.page_stream(spark, folder, pages.schema, files_per_trigger=1)
+    running = intake.start_intake(stream, root, embed.hashed_words(4), throttled=True, pause=PAUSE)
+    try:
+        running.processAllAvailable()
+        starts = [p["timestamp"] for p in running.recentProgress if p["numInputRows"]]
+    finally:
+        running.stop()
+    times = [datetime.fromisoformat(t) for t in starts]
+    gaps = [(b - a).total_seconds() for a, b in zip(times, times[1:], strict=False)]
+    cached = cache_source.load_cache(spark, root)
+    return cached.agg(
+        F.count_distinct("page_id").alias("pages"),
+        F.lit(all(gap > PAUSE - 0.5 for gap in gaps)).alias("pauses_kept"),
+    )

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from helpers import pages
 from pagelens.operators import embed, weblog
@@ -334,3 +335,35 @@ def test_refused_markup_is_its_own_text(spark):
     texts = folders.page_texts(pages(spark, "<![foo bar"))
     assert texts.first().text == "<![foo bar"
     assert parse_pages(pages(spark, "<![foo bar")).first().rejected
+
+
+def test_stream_of_an_html_folder(spark, tmp_path):
+    folder, root = tmp_path / "crawl", str(tmp_path / "cache")
+    (folder / "deep").mkdir(parents=True)
+    (folder / "a.html").write_bytes(b"<p>one \xff two</p>")  # a byte that is no text
+    (folder / "b.htm").write_bytes("<p>zw\u00f6lf</p>".encode())
+    (folder / "blank.html").write_bytes(b"<script>x()</script>")
+    (folder / "notes.txt").write_bytes(b"<p>no</p>")
+    seen = []
+
+    def run():
+        stream = intake.html_stream(spark, str(folder), files_per_trigger=2)
+        query = intake.start_intake(stream, root, embed.hashed_words(4), each=lambda df, n: seen.append(df.count()))
+        query.awaitTermination()
+        return {r.page_id: r.content_hash for r in cache.load_cache(spark, root, "string").collect()}
+
+    def md5(text):
+        return hashlib.md5(text.encode()).hexdigest()
+
+    assert run() == {"a.html": md5("one two"), "b.htm": md5("zw\u00f6lf")}
+    (folder / "deep" / "c.html").write_bytes(b"<p>three</p>")
+    assert run() == {"a.html": md5("one two"), "b.htm": md5("zw\u00f6lf"), "c.html": md5("three")}
+    assert seen == [2, 1, 1]
+
+
+def test_pages_named_by_their_path(spark, tmp_path):
+    (tmp_path / "page_id=7").mkdir()
+    (tmp_path / "page_id=7" / "x.txt").write_bytes(b"<p>a</p>\r\n")
+    key = F.regexp_extract("path", "page_id=([^/]*)/", 1)
+    rows = folders.html_folder(spark, str(tmp_path), "*.txt", key).select("page_id", "html").collect()
+    assert [tuple(r) for r in rows] == [("7", "<p>a</p>\n")]
