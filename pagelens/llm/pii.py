@@ -48,11 +48,11 @@ BASE_GUARD = {
 # Wider candidates: written-out addresses, national phone numbers, keys and passwords,
 # identity numbers.
 WIDE_PATTERN = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?"
-    r"[A-Za-z0-9-]{1,64}+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,32}+){1,4}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?"
+    r"[A-Za-z0-9-]++(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "secret": r"(?:(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
-    r"|(?:(?i)(?:password|passwd|token|secret|api[_-]?key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_-]{6,512}+\"?)",
+    r"|(?:(?i)(?:password|passwd|token|secret|api[_-]?key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_-]{6,}+\"?)",
     "id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 WIDE_GUARD = {

@@ -8,8 +8,8 @@ of matched words that no exception covers are added up and normalised by length;
 model of the sum and of its share turns them into a score between 0 and 1.
 
 The lexicon is learnt: terms are weighed by the smoothed log odds of their document counts
-over all labelled rows that may be learnt from, and the LEXICON best are kept. Exceptions
-are pairs with a term that are at home in harmless texts.
+over the labelled rows that may be learnt from, and those whose odds are surely high are kept.
+Exceptions are pairs with a term that are at home in harmless texts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,17 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import is_training_row, small_batches
-from pagelens.session import small_side, written
+from pagelens.session import written
 
-LEXICON = 4_000
-EXCEPTIONS = 4_000
-MIN_DOCS = 4  # toxic texts a term must occur in
-MIN_SHARE = 0.005  # of the toxic texts likewise
+TRAINING = 200_000  # labelled rows the lexicon is learnt from, at most; picked by the hash of the id
+MIN_DOCS = 4  # toxic texts a term, or harmless ones a phrase, must occur in
+SURE = 2.5  # standard errors by which a term's log odds must exceed LEAST_ODDS
+LEAST_ODDS = 0.25
 PRIOR = 1.0  # harmless texts every term is taken to occur in besides
 MIN_ODDS = 2.5  # smoothed log odds a term must have
 PREFIXES = range(4, 8)  # lengths of beginnings of words
 FLUSH = 200_000  # counts a task holds at most before it passes them on
-LONGEST = 40  # longer words are no terms
 CALIBRATION = 12_000  # labelled rows at most for the logistic model
 
 # Letters of other scripts that look like Latin ones, and signs in words.
@@ -88,11 +88,10 @@ def terms_of(folded: str) -> set[str]:
     """Candidate terms: " word " and " beginning"."""
     out = set()
     for word in set(folded.split()):
-        if len(word) <= LONGEST:
-            out.add(f" {word} ")
-            for n in PREFIXES:
-                if len(word) > n:
-                    out.add(f" {word[:n]}")
+        out.add(f" {word} ")
+        for n in PREFIXES:
+            if len(word) > n:
+                out.add(f" {word[:n]}")
     return out
 
 
@@ -126,14 +125,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
     )
-    known = small_side(known, "labels", 200_000)
-    return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "label", "text")
+    known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING), "labels")
+    # At most TRAINING rows of two numbers.
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
 
 
 def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Term -> weight; at most LEXICON terms. A term that only repeats what a shorter
-    beginning says is left out when it is matched: of the terms of a word the greatest
-    weight counts."""
+    """Term -> weight: every term whose log odds of occurring in toxic texts are high, and
+    surely above LEAST_ODDS, by the standard error of their counts. The rule is the same for
+    any number of texts and cuts no term off by rank; the labelled rows bound how many there
+    are. A term that only repeats what a shorter beginning says is left out when it is
+    matched: of the terms of a word the greatest weight counts."""
     small_batches(rows.sparkSession)
     (toxic, other) = rows.agg(
         F.sum((F.col("label") == 1).cast("long")), F.sum((F.col("label") != 1).cast("long"))
@@ -145,13 +147,9 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("toxic") + 0.5) / F.lit(toxic + 1.0)) - F.log(
         (F.col("other") + PRIOR) / F.lit(other + 2 * PRIOR)
     )
-    least = max(MIN_DOCS, math.ceil(MIN_SHARE * toxic))
-    weighed = counted.filter(F.col("toxic") >= least).withColumn("weight", odds)
-    best = (
-        weighed.filter(F.col("weight") >= MIN_ODDS)
-        .orderBy((F.col("toxic") * F.col("weight")).desc(), "term")
-        .limit(LEXICON)
-    )
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + PRIOR))
+    weighed = counted.filter(F.col("toxic") >= MIN_DOCS).withColumn("weight", odds)
+    best = weighed.filter((F.col("weight") >= MIN_ODDS) & (odds - SURE * error >= LEAST_ODDS))
     return {r["term"]: r["weight"] for r in best.collect()}
 
 
@@ -183,10 +181,18 @@ class Matcher:
                     spared.append((start, end))
                 elif weight > found.get(start, 0.0):
                     found[start] = weight
-        for start, end in spared:
-            for at in [a for a in found if start <= a < end]:
-                found.pop(at)
-        return found
+        if not spared or not found:
+            return found
+        starts, reach = [], []  # of the phrases by their start: the furthest end so far
+        for start, end in sorted(spared):
+            starts.append(start)
+            reach.append(max(end, reach[-1] if reach else end))
+
+        def inside(at: int) -> bool:
+            before = bisect_right(starts, at)
+            return before > 0 and at < reach[before - 1]
+
+        return {at: weight for at, weight in found.items() if not inside(at)}
 
 
 def _pair_batches(weights: dict[str, float]):
@@ -215,14 +221,13 @@ def _pair_batches(weights: dict[str, float]):
 
 def exceptions(rows: DataFrame, weights: dict[str, float]) -> list[str]:
     """Word pairs with a term that occur in at least MIN_DOCS texts, hardly any of them
-    toxic; at most EXCEPTIONS."""
+    toxic."""
     if not weights:
         return []
     pairs = rows.mapInArrow(_pair_batches(weights), "pair string, toxic long, other long")
     pairs = pairs.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     harmless = pairs.filter((F.col("other") >= MIN_DOCS) & (F.col("other") >= 9 * F.col("toxic")))
-    best = harmless.orderBy(F.col("other").desc(), "pair").limit(EXCEPTIONS)
-    return [r["pair"] for r in best.collect()]
+    return [r["pair"] for r in harmless.select("pair").collect()]
 
 
 # -- scoring -----------------------------------------------------------------------
@@ -275,11 +280,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple:
     rows = written(labelled(docs, labels, label), "toxic-rows")
     weights = lexicon(rows)
     spared = exceptions(rows, weights)
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
+    order = F.xxhash64("doc_id")
+    last = rows.select(order.alias("h")).orderBy("h").limit(CALIBRATION).agg(F.max("h")).first()[0]
+    chosen = rows.filter(order <= last) if last is not None else rows
     measured = chosen.mapInArrow(
         _measure_batches(weights, spared), "doc_id long, label int, total double, share double"
     )
-    found = sorted(tuple(r) for r in measured.collect())  # at most CALIBRATION rows of numbers
+    found = sorted(tuple(r) for r in measured.collect())  # about CALIBRATION rows of numbers
     y = np.array([r[1] for r in found], float)
     if not weights:
         sure = min(0.99, max(0.01, float(y.mean()))) if len(y) else 0.5

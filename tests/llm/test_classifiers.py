@@ -1,6 +1,7 @@
 """Quality and toxicity: held-out accuracy, folding, exceptions, odd rows."""
 
 import random
+import time
 import zlib
 
 import edge
@@ -123,3 +124,20 @@ def test_no_documents(spark):
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     assert nbsvm.scored(none, nbsvm.train(none, labels, "quality")).collect() == []
     assert toxicity.scored(none, toxicity.train(none, labels)).collect() == []
+
+
+def test_rare_terms_count_where_they_are_sure(spark):
+    """A term of 12 among 3,000 toxic texts (0.4 %) and of no harmless one is in the lexicon,
+    one as frequent in harmless texts is not."""
+    rows = [(i, f"plain words {i} " + ("grumph " if i < 12 else "") + ("both " if i % 250 == 0 else ""), 1) for i in range(3_000)]
+    rows += [(i, f"plain words {i} " + ("both " if i % 250 == 0 else ""), 0) for i in range(3_000, 9_000)]
+    weights = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert " grumph " in weights and " both " not in weights and " plain " not in weights
+
+
+def test_many_terms_and_exceptions_in_one_text():
+    matcher = toxicity.Matcher({" glorp ": 2.0}, [" glorp museum ", " the glorp "])
+    folded = toxicity.fold("glorp museum the glorp glorp x " * 20_000)
+    start = time.process_time()
+    found = matcher.words(folded)
+    assert len(found) == 20_000 and time.process_time() - start < 5

@@ -148,3 +148,13 @@ def test_likeness_is_near_jaccard(spark):
     df = oph.add_signature(oph.add_signature(df, "a", "sa"), "b", "sb")
     got = dict(map(tuple, df.select("n", oph.likeness(F.col("sa"), F.col("sb"))).collect()))
     assert got[0] == 1 and all(abs(got[n] - truth[n]) < 0.15 for n in truth)
+
+
+def test_long_keys_and_addresses_are_found_whole(spark):
+    key, name = "Ab1_" * 500, "n" * 300
+    text = f"use token={key} then write {name} [at] {'h' * 200} [dot] com now"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.find(df).collect()[0].spans
+    wide = {pii.KINDS[s.kind]: text[s.start : s.end] for s in spans}
+    assert wide["secret"] == f"token={key}"
+    assert wide["email"] == f"{name} [at] {'h' * 200} [dot] com"
