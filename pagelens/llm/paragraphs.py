@@ -355,7 +355,10 @@ def repeated(docs: DataFrame) -> DataFrame:
         .drop("low", "high")
     )
     chosen = written(classed.select("h", "class_id").join(wide, "class_id"), "chosen")
-    members = rows.drop("shingles").join(chosen, "h").dropDuplicates(["doc", "paragraph"])
+    # One shuffle by document serves the rows kept once and the runs.
+    once = F.row_number().over(Window.partitionBy("doc", "paragraph").orderBy("h"))
+    members = rows.drop("shingles").join(chosen, "h").repartition("doc")
+    members = members.withColumn("once", once).filter("once = 1").drop("once")
     run = Window.partitionBy("doc", "run")
     found = written(
         in_runs(members, "doc").withColumn("run_words", F.sum("n_words").over(run))

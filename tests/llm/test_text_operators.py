@@ -155,6 +155,6 @@ def test_long_keys_and_addresses_are_found_whole(spark):
     text = f"use token={key} then write {name} [at] {'h' * 200} [dot] com now"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     spans = pii.find(df).collect()[0].spans
-    wide = {pii.KINDS[s.kind]: text[s.start : s.end] for s in spans}
+    wide = {pii.KINDS[s.kind]: text[s.start : s.stop] for s in spans}
     assert wide["secret"] == f"token={key}"
     assert wide["email"] == f"{name} [at] {'h' * 200} [dot] com"
