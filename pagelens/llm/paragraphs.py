@@ -74,14 +74,29 @@ def cuts(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], found[found > 0]])
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, int, int, np.ndarray]]:
-    """(start, stop, words, hash, shingles) of each paragraph of at least SHINGLE words;
-    places in code points. None for texts without so many words."""
+def _distinct(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each stretch of words a to b, in order, one after the other,
+    and how many each stretch has."""
+    counts = b - a - (SHINGLE - 1)
+    owner = np.repeat(np.arange(len(a)), counts)
+    places = np.arange(len(owner)) + np.repeat(a - (np.cumsum(counts) - counts), counts)
+    wide = (owner.astype(np.int64) << 32) + shingles[places].astype(np.int64)
+    wide.sort()
+    wide = wide[np.append(True, wide[1:] != wide[:-1])]
+    own = wide.astype(np.int32)  # the low half, whatever its sign
+    return own, np.bincount((wide - own) >> 32, minlength=len(a))
+
+
+def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """(starts, stops, words, hashes, shingles, sizes) of the paragraphs of at least SHINGLE
+    words; places in code points, the distinct shingles of all in one array, `sizes` of them
+    each. All empty for texts without so many words."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass").lower()
     tokens = data.split()
+    none = np.zeros(0, np.int64)
     if len(tokens) < SHINGLE:
-        return []
+        return none, none, none, [], none.astype(np.int32), none
     digest = xxhash.xxh3_64_intdigest
     hashes = np.fromiter(map(digest, tokens), np.uint64, len(tokens))
     shingles = hashes[: 1 - SHINGLE].copy()
@@ -92,18 +107,18 @@ def paragraphs(text: str | None) -> list[tuple[int, int, int, int, np.ndarray]]:
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     begins, ends = edge[::2], edge[1::2]  # of the words, in bytes
+    a = cuts(hashes)
+    b = np.append(a[1:], len(tokens))
+    long = b - a >= SHINGLE
+    a, b = a[long], b[long]
+    if not len(a):
+        return none, none, none, [], none.astype(np.int32), none
+    h = [digest(b" ".join(tokens[i:j])) - (1 << 63) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    starts, stops = begins[a], ends[b - 1]
     if len(data) != len(text):
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        begins, ends = points[begins], points[ends]
-    at = cuts(hashes)
-    stops = np.append(at[1:], len(tokens))
-    out = []
-    for a, b in zip(at.tolist(), stops.tolist(), strict=True):
-        if b - a >= SHINGLE:
-            h = digest(b" ".join(tokens[a:b])) - (1 << 63)
-            own = np.unique(shingles[a : b - SHINGLE + 1])
-            out.append((int(begins[a]), int(ends[b - 1]), b - a, h, own))
-    return out
+        starts, stops = points[starts], points[stops]
+    return starts, stops, b - a, h, *_distinct(shingles, a, b)
 
 
 def document_key(doc_id: int | None, text: str) -> int:
@@ -115,20 +130,29 @@ def document_key(doc_id: int | None, text: str) -> int:
 def _paragraph_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PARAGRAPHS.split(", ")]
     for batch in batches:
-        rows: list[list] = [[] for _ in range(7)]
-        sets, offsets = [np.zeros(0, np.int32)], [0]
+        keys, docs, counts, hashes = [], [], [], []
+        parts: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(6)]
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py() or ""
-            doc = document_key(key, text)
-            for number, (start, stop, n, h, own) in enumerate(paragraphs(text)):
-                for column, value in zip(rows, (key, doc, number, start, stop, n, h), strict=True):
-                    column.append(value)
-                sets.append(own)
-                offsets.append(offsets[-1] + len(own))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        arrays = [pa.array(r, t) for r, t in zip(rows, types, strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))
-        yield pa.RecordBatch.from_arrays([*arrays, lists], names)
+            starts, stops, words, h, own, sizes = paragraphs(text)
+            if not h:
+                continue
+            keys.append(key)
+            docs.append(document_key(key, text))
+            counts.append(len(h))
+            hashes += h
+            for part, values in zip(parts, (np.arange(len(h)), starts, stops, words, own, sizes), strict=True):
+                part.append(values.astype(np.int32))
+        number, starts, stops, words, own, sizes = [np.concatenate(part) for part in parts]
+        owner = pa.array(np.repeat(np.arange(len(counts)), np.array(counts, np.int64)))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        arrays = [
+            pa.array(keys, pa.int64()).take(owner), pa.array(docs, pa.int64()).take(owner),
+            pa.array(number), pa.array(starts), pa.array(stops), pa.array(words),
+            pa.array(hashes, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(own)),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def cut(docs: DataFrame) -> DataFrame:
