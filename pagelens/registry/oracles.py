@@ -231,6 +231,16 @@ minmax AS (SELECT p.a, p.b, CASE WHEN hi > lo THEN (similarity - lo) / (hi - lo)
 side AS (SELECT m.a, m.b, m.scaled, v.similarity AS other
   FROM minmax m JOIN (SELECT * FROM both_orders UNION ALL SELECT id, id, 1.0 FROM visual) v USING (a, b))"""
 
+FITTED = f"""{TWO_LENSES},
+labelled AS (SELECT f.a, f.b, f.similarity AS x, v.similarity AS y,
+    CAST(la.label = lb.label AS INTEGER) AS t
+  FROM first_lens f JOIN both_orders v USING (a, b)
+  JOIN embeddings la ON la.vec_id = f.a JOIN embeddings lb ON lb.vec_id = f.b),
+moments AS (SELECT var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, t) AS xt,
+    covar_pop(y, t) AS yt, avg(x) AS mx, avg(y) AS my, avg(t) AS mt FROM labelled WHERE t IS NOT NULL),
+solved AS (SELECT (xt * yy - yt * xy) / (xx * yy - xy * xy) AS w1,
+    (yt * xx - xt * xy) / (xx * yy - xy * xy) AS w2, mx, my, mt FROM moments)"""
+
 BAND = """CASE WHEN {s} > 0.8 THEN 'Very similar' WHEN {s} > 0.6 THEN 'Moderately similar'
   ELSE 'Different' END"""
 
@@ -866,6 +876,13 @@ FROM alike_s s FULL JOIN alike v ON s.a = v.a AND s.b = v.b""",
     "lens_correlation": f"""WITH {TWO_LENSES}
 SELECT round(corr(f.similarity, v.similarity), 6) AS correlation, count(*) AS pairs
 FROM first_lens f JOIN both_orders v USING (a, b)""",
+    "fitted_lens_weights": f"""WITH {FITTED}
+SELECT 'structural' AS lens, round(w1, 6) AS weight FROM solved
+UNION ALL SELECT 'visual', round(w2, 6) FROM solved
+UNION ALL SELECT 'intercept', round(mt - w1 * mx - w2 * my, 6) FROM solved""",
+    "fused_lenses": f"""WITH {FITTED}
+SELECT a, b, round(mt - w1 * mx - w2 * my + w1 * x + w2 * y, 6) AS similarity
+FROM labelled, solved""",
     "matrix_blocks": f"""WITH {VISUAL_BOTH}
 SELECT a, b // 1000 AS block, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS columns,
   string_agg(printf('%.6f', similarity), ';' ORDER BY b) AS similarities

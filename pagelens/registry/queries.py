@@ -16,6 +16,7 @@ from pagelens.operators import (
     blend,
     embed,
     features,
+    fusion,
     incremental,
     interactables,
     page_types,
@@ -790,6 +791,43 @@ def lens_correlation(spark, sf):
     return rounded(blend.lens_correlation(compared, "structural", "visual"), 6, "correlation")
 
 
+def labelled_lens_pairs(spark, sf) -> DataFrame:
+    """Pairs under both lenses, and whether their pages bear the same label."""
+    structural, visual = listed_lens_pairs(spark, sf)
+    compared = blend.compare_lenses({"structural": structural, "visual": visual})
+    marks = read_table(spark, sf, "embeddings")
+    of_a = marks.select(F.col("vec_id").alias("a"), F.col("label").alias("__a"))
+    of_b = marks.select(F.col("vec_id").alias("b"), F.col("label").alias("__b"))
+    same = (F.col("__a") == F.col("__b")).cast("double").alias("same")
+    joined_rows = compared.join(of_a, "a").join(of_b, "b")
+    return written(joined_rows.select("a", "b", "structural", "visual", same), "labelled-pairs")
+
+
+@query
+def fitted_lens_weights(spark, sf):
+    """Weights of the lenses that tell best whether two pages bear the same label."""
+    weights = fusion.fit_weights(labelled_lens_pairs(spark, sf), ["structural", "visual"], "same")
+    rows = [(name, round(weight, 6)) for name, weight in weights.items()]
+    return spark.createDataFrame(rows, "lens string, weight double")
+
+
+@query
+def fused_lenses(spark, sf):
+    pairs = labelled_lens_pairs(spark, sf)
+    weights = fusion.fit_weights(pairs, ["structural", "visual"], "same")
+    return rounded(fusion.fused(pairs, weights), 6, "similarity")
+
+
+@query
+def shared_directions(spark, sf):
+    """Places of the pages along two directions that the structural and the visual lens share."""
+    correlations, places = fusion.canonical(structural_vectors(spark, sf), inputs.vectors(spark, sf))
+    each = places.select("id", F.posexplode(F.arrays_zip("first", "second")).alias("component", "at"))
+    found = F.element_at(F.lit(correlations).cast("array<double>"), F.col("component") + 1)
+    flat = each.select("id", "component", "at.first", "at.second", found.alias("correlation"))
+    return rounded(flat, 6, "first", "second", "correlation")
+
+
 @query
 def matrix_blocks(spark, sf):
     view = blend.matrix_view(visual_pairs(spark, sf))
