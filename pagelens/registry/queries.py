@@ -794,7 +794,7 @@ def lens_correlation(spark, sf):
 def labelled_lens_pairs(spark, sf) -> DataFrame:
     """Pairs under both lenses, and whether their pages bear the same label."""
     structural, visual = listed_lens_pairs(spark, sf)
-    compared = blend.compare_lenses({"structural": structural, "visual": visual})
+    compared = blend.compare_lenses({"structural": structural, "visual": visual}).dropna()
     marks = read_table(spark, sf, "embeddings")
     of_a = marks.select(F.col("vec_id").alias("a"), F.col("label").alias("__a"))
     of_b = marks.select(F.col("vec_id").alias("b"), F.col("label").alias("__b"))
