@@ -62,19 +62,16 @@ def script_assets(assets: DataFrame) -> DataFrame:
 
 
 def console_payloads(console: DataFrame) -> DataFrame:
-    """Distinct payloads after the marker, under their short hash."""
+    """Distinct payloads after the marker, under their short hash, which different ones may share."""
     found = console.select(tagged_payload(F.col("message")).alias("payload"))
-    kept = found.where("payload is not null")
-    return kept.select(short_hash(F.col("payload")).alias("payload_id"), "payload").dropDuplicates(
-        ["payload_id"]
-    )
+    kept = found.where("payload is not null").dropDuplicates(["payload"])
+    return kept.select(short_hash(F.col("payload")).alias("payload_id"), "payload")
 
 
 def console_network_calls(console: DataFrame) -> DataFrame:
-    calls = console.where(is_network_log(F.col("message")))
-    return calls.select(short_hash(F.col("message")).alias("log_id"), "message").dropDuplicates(
-        ["log_id"]
-    )
+    """Distinct network logs under their short hash, which different ones may share."""
+    calls = console.where(is_network_log(F.col("message"))).dropDuplicates(["message"])
+    return calls.select(short_hash(F.col("message")).alias("log_id"), "message")
 
 
 def api_scripts(scripts: DataFrame, key: str, body: str) -> DataFrame:

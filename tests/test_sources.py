@@ -11,6 +11,7 @@ from pagelens.operators import embed, weblog
 from pagelens.operators.dom import parse_pages
 from pagelens.operators.incremental import cache_schema
 from pagelens.plans import interactive, semantic, site_report
+from pagelens.registry import queries
 from pagelens.sources import cache, folders, results
 from pagelens.streaming import intake
 from pagelens.streaming import requests as request_streams
@@ -187,6 +188,13 @@ def test_assets_console_and_scripts(spark):
     )
     assert [r.payload for r in weblog.console_payloads(console).collect()] == ["p1"]
     assert weblog.console_network_calls(console).count() == 2
+    # Two pairs of texts whose short hashes are equal.
+    texts = ["fetch(/api/32895)", "fetch(/api/55288)", "DECRYPT_LOG:p194560", "DECRYPT_LOG:p206842"]
+    alike = spark.createDataFrame([(t,) for t in texts * 2], "message string")
+    calls = weblog.console_network_calls(alike).collect()
+    assert sorted(tuple(r) for r in calls) == [("bb702231", t) for t in texts[:2]]
+    payloads = weblog.console_payloads(alike).collect()
+    assert sorted(tuple(r) for r in payloads) == [("7c5294b8", "p194560"), ("7c5294b8", "p206842")]
     scripts = spark.createDataFrame(
         [("b", "token"), ("a", "token"), ("c", "fetch( token Bearer x"), ("d", "zzz")], "name string, body string"
     )
@@ -367,3 +375,15 @@ def test_pages_named_by_their_path(spark, tmp_path):
     key = F.regexp_extract("path", "page_id=([^/]*)/", 1)
     rows = folders.html_folder(spark, str(tmp_path), "*.txt", key).select("page_id", "html").collect()
     assert [tuple(r) for r in rows] == [("7", "<p>a</p>\n")]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_of_tables_of_several_files(spark, tmp_path, files):
+    rows = [(i, f"https://h{i}.example.org/x", "<p>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    if files > 1:
+        pages.repartition(files).write.parquet(str(tmp_path / "pages.parquet"))
+    else:
+        pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    found = queries.QUERIES["streamed_seen_urls"](spark, str(tmp_path)).collect()
+    assert sorted(r.host for r in found) == sorted(f"h{i}.example.org" for i in range(12))
