@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from pagelens.operators import vector_join
+from pyspark.sql import functions as F
+
+from pagelens.operators import blend, fusion, vector_join
 
 
 def table(spark, ids, rows, id_type="bigint"):
@@ -95,3 +97,90 @@ def test_scores_of_listed_pairs(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 9)], "a bigint, b bigint")
     found = vector_join.score_pairs(pairs, vs).collect()
     assert len(found) == 1 and found[0].similarity == pytest.approx(2**-0.5)
+
+
+@pytest.fixture
+def two_lenses(spark):
+    """Two lenses of the same ids, the second without some of them, and numbers of the ids."""
+    ids, rows, scores = sample(5, n=120, copies=20)
+    _, others, second = sample(6, n=120, copies=3)
+    others[7] = 0
+    first = table(spark, ids, rows)
+    numbers = spark.createDataFrame([(i, float(i % 3)) for i in ids], "id bigint, label double")
+    return ids, first, table(spark, ids[5:], others[5:]), numbers
+
+
+def joined_apart(first, second, limit):
+    """The pairs of the first lens, joined to the second."""
+    found = vector_join.similar_pairs(first, limit).where("a <> b").select("a", "b", "similarity")
+    other = vector_join.score_pairs(found.select("a", "b"), second)
+    return found.join(other.withColumnRenamed("similarity", "second"), ["a", "b"])
+
+
+def test_pairs_scored_where_they_are_found(spark, two_lenses):
+    _, first, second, numbers = two_lenses
+    want = {(r.a, r.b): r for r in joined_apart(first, second, 0.3).collect()}
+    found = vector_join.scored_pairs(first, 0.3, numbers, second).collect()
+    assert len(found) == len(want) > 500
+    for r in found:
+        assert r.similarity == pytest.approx(want[r.a, r.b].similarity)
+        assert r.second == pytest.approx(want[r.a, r.b].second)
+        assert (r.label_a, r.label_b) == (r.a % 3, r.b % 3)
+    both = blend.both_ends(vector_join.scored_pairs(first, 0.3, numbers), "label").collect()
+    assert all(r.label == r.b % 3 for r in both) and {(r.a, r.b) for r in both} == {(r.b, r.a) for r in both}
+
+
+def test_pairs_are_joined_to_nothing(spark, two_lenses):
+    """Rows that are moved: as many as vectors times blocks, however many pairs there are."""
+    _, first, second, numbers = two_lenses
+    found = vector_join.scored_pairs(first, -2.0, numbers, second)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_moments_without_pairs(spark, two_lenses):
+    _, first, second, numbers = two_lenses
+    pairs = joined_apart(first, second, 0.3).withColumn("same", (F.col("a") % 3 == F.col("b") % 3).cast("double"))
+    moments = vector_join.pair_moments(first, 0.3, second, numbers)
+    want = pairs.agg(F.corr("second", "similarity").alias("r"), F.count("*").alias("n")).first()
+    assert moments.count == want.n and moments.correlation(0, 1) == pytest.approx(want.r)
+    fitted = fusion.fit_weights(pairs, ["second", "similarity"], "same")
+    assert fusion.weights_of(moments.means, moments.products, ["second", "similarity"]) == pytest.approx(fitted)
+    assert vector_join.pair_moments(first, 1.5, second).count == 0
+    assert vector_join.pair_moments(first, 1.5, second).correlation(0, 1) is None
+
+
+def test_lenses_compared_in_one_pass(spark, two_lenses):
+    _, first, second, _ = two_lenses
+    found = vector_join.compared_pairs({"one": (first, 0.9), "two": (second, 0.3)}).collect()
+    want = blend.compare_lenses(
+        {"one": vector_join.similar_pairs(first, 0.9), "two": vector_join.similar_pairs(second, 0.3)}
+    )
+    want = {(r.a, r.b): r for r in want.collect()}
+    assert {(r.a, r.b) for r in found} == set(want) and len(found) == len(want)
+    assert any(r.a == r.b for r in found) and any(r.one is None for r in found) and any(r.two is None for r in found)
+    for r in found:
+        assert r.one == pytest.approx(want[r.a, r.b].one) and r.two == pytest.approx(want[r.a, r.b].two)
+
+
+def test_matrix_rows_equal_the_view_of_the_pairs(spark, two_lenses):
+    _, first, _, _ = two_lenses
+    pairs = blend.both_orders(vector_join.similar_pairs(first, 0.3).where("a <> b"))
+    want = {(r.a, r.block): r for r in blend.matrix_view(pairs, F.floor(F.col("b") / 100).cast("bigint")).collect()}
+    found = vector_join.matrix_rows(first, 0.3, F.floor(F.col("id") / 100)).collect()
+    assert len(found) == len(want) > 100
+    for r in found:
+        assert r.columns == want[r.a, r.block].columns
+        assert r.similarities == pytest.approx(want[r.a, r.block].similarities)
+
+
+@pytest.mark.parametrize("n", [500, 1_500])
+def test_rows_sent_grow_as_the_vectors(spark, n):
+    """Vectors without any clusters: each is sent to BLOCKS blocks at most, not to every cell."""
+    rows = np.random.default_rng(n).normal(size=(n, 12))
+    vs = vector_join.fold_copies(table(spark, range(n), rows))
+    placed = vector_join._spread(vs, vector_join._pivots(vs), vector_join._visits_within(1.2))
+    sent = vector_join._groups(*placed, every=False, local=False).count()
+    assert sent <= vector_join.BLOCKS * n
+    sizes = [r["count"] for r in placed[0].groupBy("block").count().collect()]
+    assert max(sizes) < 2 * n / len(sizes)
