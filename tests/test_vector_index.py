@@ -100,3 +100,14 @@ def test_blend_over_whole_columns_equals_the_matrix(spark):
     assert len(got) == len(pairs) + 60
     for r in got:
         assert r.similarity == pytest.approx(whole[r.a, r.b], abs=1e-9)
+
+
+def test_search_over_several_blocks_finds_each_neighbour_once(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "BLOCK_ROWS", 100)
+    rows = clustered(600)
+    vectors = table(spark, range(len(rows)), rows)
+    index = vector_index.fit(vectors, 5)
+    every = vector_index.Index(index.books, len(index.books[0]) * len(index.books[1]), index.placed)
+    found = {tuple(r) for r in vector_index.search(every, vectors, 5).collect()}
+    assert found == {tuple(r) for r in vector_index.exact(vectors, vectors, 5).collect()}
+    assert len(found) == 5 * len(rows)
