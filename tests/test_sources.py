@@ -387,3 +387,14 @@ def test_streams_of_tables_of_several_files(spark, tmp_path, files):
         pages.toPandas().to_parquet(tmp_path / "pages.parquet")
     found = queries.QUERIES["streamed_seen_urls"](spark, str(tmp_path)).collect()
     assert sorted(r.host for r in found) == sorted(f"h{i}.example.org" for i in range(12))
+
+
+def test_a_batch_file_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(queries, "ROW_GROUP", 1 << 16)
+    html = F.repeat(F.sha2(F.col("id").cast("string"), 512), 40)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), html.alias("html"))
+    queries.write_batch_files(pages, str(tmp_path / "pages"), 3)
+    files = list((tmp_path / "pages").glob("*.parquet"))
+    assert len(files) == 3 and all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
