@@ -105,7 +105,7 @@ def feature_sample(pages: DataFrame, count: int = 3) -> DataFrame:
     The pages are picked before they are parsed.
     """
     first = pages.select("page_id", "html").orderBy("page_id").limit(count)
-    parsed = parse_pages(first, fields=("tag", "classes", "depth"))
+    parsed = parse_pages(first, fields=("tag", "classes", "depth"), texts=False)
     depths = F.slice(F.transform("elements", lambda e: e["depth"]), 1, DEPTH_LIMIT)
     return parsed.select(
         "page_id",

@@ -13,7 +13,7 @@ FIELDS = ("pos", "tag", "attrs", "classes", "text")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    return page_interactables(parse_pages(pages, fields=FIELDS))
+    return page_interactables(parse_pages(pages, fields=FIELDS, texts=False))
 
 
 def extract_crawl(spark: SparkSession, root: str, out: str) -> DataFrame:

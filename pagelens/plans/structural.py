@@ -30,7 +30,7 @@ def analyse(
     pages: DataFrame, min_score: float = 1.2, rules: Rules | None = None
 ) -> StructuralReport:
     """Run the whole structural analysis of `pages(page_id, html)`."""
-    parsed = written(parse_pages(pages, fields=FIELDS), "parsed")
+    parsed = written(parse_pages(pages, fields=FIELDS, texts=False), "parsed")
     typed = parsed.select("page_id", page_type(rules).alias("page_type"))
     structures = written(structure.page_structures(parsed), "structures")
     sigs = written(structure.signatures(structures), "sigs")

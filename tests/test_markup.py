@@ -1,9 +1,10 @@
 import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from helpers import by_page, pages, parsed
-from pagelens.operators.dom import elements, parse_pages
+from pagelens.operators.dom import _PageBuilder, elements, parse_pages
 from pagelens.operators.markup import PageReader
 
 
@@ -93,6 +94,26 @@ def test_many_pages_keep_their_rows(spark):
     assert wrong.count() == 0
 
 
+def test_texts_are_built_only_for_those_who_read_them(spark):
+    made = pages(spark, "<p id='a'>x</p>", "", "<![foo bar")
+    with_texts = parse_pages(made)
+    without = parse_pages(made, texts=False)
+    assert without.schema == with_texts.schema
+    assert without.drop("page_text").collect() == with_texts.drop("page_text").collect()
+    assert [row.page_text for row in without.collect()] == [None] * 3
+
+
+def test_rows_are_handed_back_before_much_has_gathered():
+    for page in ("<p class='c d' id='i'>x" * 50, "<p>" + "text " * 2_000):
+        builder = _PageBuilder(("tag", "attrs", "classes"), None)
+        tracemalloc.start()
+        while not builder.is_full():
+            builder.add(page)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 10_000_000
+
+
 def test_many_void_tags_and_nested_links_take_linear_time():
     start = time.perf_counter()
     PageReader().read("<p>a<br></p>" * 40_000)
