@@ -11,6 +11,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import TABLES, canonical
+from pagelens.operators.structure import SIGNATURE_FIELDS
+from pagelens.registry import inputs
 
 FOLDER = "/root/testdata/sf0.001"
 ORACLES = entry_points.oracle_sql()
@@ -45,5 +47,10 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(entry_points.queries())
 
 
+def test_structures_are_parsed_without_page_texts(spark):
+    parsed = inputs.dressed(spark, FOLDER, SIGNATURE_FIELDS)
+    assert parsed.where("size(elements) > 0 and page_text is null").count() == parsed.count() > 0
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
