@@ -1,11 +1,13 @@
 import time
 import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helpers import by_page, pages, parsed
 from pagelens.operators.dom import _PageBuilder, elements, parse_pages
 from pagelens.operators.markup import PageReader
+from pagelens.operators.structure import SIGNATURE_FIELDS
 
 
 def shape(markup):
@@ -114,6 +116,41 @@ def test_rows_are_handed_back_before_much_has_gathered():
         assert most < 10_000_000
 
 
+class _OneTask:
+    """Stands for a table of pages: `parse_pages` hands it what a task would run on its batches."""
+
+    def __init__(self, table):
+        self.schema = table.schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_memory_of_the_parse_stage_does_not_follow_the_pages(spark):
+    made = pages(spark, "")
+    parse = parse_pages(_OneTask(made), fields=SIGNATURE_FIELDS)
+    page = "<p class='c d' id='i'>x" * 50
+
+    def peak(rows, batches=1):
+        batch = pa.record_batch([pa.array(range(rows)), pa.array([page] * rows)], ["page_id", "html"])
+        found, held, before = 0, 0, pa.total_allocated_bytes()
+        tracemalloc.start()
+        for out in parse(iter([batch] * batches)):
+            found += out.num_rows
+            held = max(held, pa.total_allocated_bytes() - before)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == rows * batches
+        return most + held
+
+    few = peak(220)
+    assert peak(660) < 1.5 * few
+    assert peak(220, batches=2) < 1.5 * few
+
+
 def test_many_void_tags_and_nested_links_take_linear_time():
     start = time.perf_counter()
     PageReader().read("<p>a<br></p>" * 40_000)
