@@ -398,3 +398,33 @@ def test_a_batch_file_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
     queries.write_batch_files(pages, str(tmp_path / "pages"), 3)
     files = list((tmp_path / "pages").glob("*.parquet"))
     assert len(files) == 3 and all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
+
+
+def test_markup_files_of_pages_stand_in_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "FOLDER_FILES", 4)
+    rows = [(i, f"<p>{i}é") for i in range(9)] + [(3, "<p>again"), (9, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string").coalesce(1)
+    root = tmp_path / "markup"
+    for _ in range(2):  # a task that runs again changes nothing
+        folders.write_html_files(pages, str(root))
+        files = {f.name: f.read_bytes().decode() for f in root.rglob("*.txt")}
+        lines = {n: sorted(text.split("\n")) for n, text in files.items()}
+        want = {f"page_id={i}.txt": ["", f"<p>{i}é"] for i in range(9)} | {"page_id=9.txt": ["", ""]}
+        assert lines == want | {"page_id=3.txt": ["", "<p>3é", "<p>again"]}
+        assert sorted(f.name for f in root.iterdir()) == ["part=0"]
+        assert len(list(root.rglob("block=*"))) == 3
+    found = folders.html_folder(spark, str(root), "*.txt", queries.page_of_path()).collect()
+    assert {r.page_id for r in found} == set(range(10)) and len(found) == 10
+
+
+@pytest.fixture
+def many_files(tmp_path):
+    for i in range(1_500):
+        (tmp_path / f"{i}.html").write_bytes(b"<p>%d</p>" % i)
+    return tmp_path
+
+
+def test_small_files_are_read_in_few_tasks(spark, many_files):
+    found = folders.html_folder(spark, str(many_files))
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert found.distinct().count() == 1_500
