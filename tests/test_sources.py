@@ -428,3 +428,17 @@ def test_small_files_are_read_in_few_tasks(spark, many_files):
     found = folders.html_folder(spark, str(many_files))
     assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert found.distinct().count() == 1_500
+
+
+def test_small_files_of_a_stream_are_read_in_few_tasks(spark, many_files, monkeypatch):
+    parts, texts = [], intake.page_texts
+
+    def counted(pages, **options):
+        parts.append(pages.rdd.getNumPartitions())
+        return texts(pages, **options)
+
+    monkeypatch.setattr(intake, "page_texts", counted)
+    root = str(many_files / "cache")
+    intake.start_intake(intake.html_stream(spark, f"{many_files}/*.html"), root, embed.hashed_words(4)).awaitTermination()
+    assert len(parts) == 1 and parts[0] <= 4 * spark.sparkContext.defaultParallelism
+    assert cache.load_cache(spark, root, "string").count() == 1_500
